@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from engramix.llm.decontamination import contamination
 from engramix.llm.media import media_columns
 from engramix.llm.packing import pack_documents
+from engramix.llm.pii import pii_digests
 from engramix.llm.token_counts import token_counts
 from engramix.llm.token_files import token_files
 
@@ -40,12 +41,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_media_columns": op2_media_columns,
     "op4_token_counts": op4_token_counts,
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {}
