@@ -10,13 +10,20 @@ make are given the whole text.
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 
 #: A worker's cache is emptied beyond so many chunks, or characters in them.
-CACHE_ENTRIES, CACHE_CHARS = 1_500_000, 48 << 20
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 24 << 20
+
+
+#: A place between a letter and a symbol other than an apostrophe: the tokenizer splits there too.
+_EDGE = re.compile(r"(?<=[^\W\d_])(?=[^\w\s'])")
+#: Chunks that are a single word for the tokenizer, whatever stands around them.
+_WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
 class _Numbers(dict):
@@ -46,6 +53,9 @@ class ChunkEncoder:
         self.lowers = "Lowercase" in json.dumps(made.get("normalizer"))
         self.added = [a["content"] for a in made.get("added_tokens", ())]
         self.vocabulary = self.library.get_vocab_size()
+        suffix = made["model"].get("end_of_word_suffix")
+        #: Ids that end a word, if the model marks them.
+        self.ends = np.array([bool(suffix) and (self.library.id_to_token(i) or "").endswith(suffix) for i in range(self.vocabulary)])
         self._reset()
 
     def _reset(self) -> None:
@@ -60,9 +70,7 @@ class ChunkEncoder:
         new, self.index.new = self.index.new, []
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
-            ids = [e.ids for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+            flat, sizes = self._library(part)
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.r_[self.pool, np.zeros_like(self.pool)]
             k = self.known
@@ -75,13 +83,30 @@ class ChunkEncoder:
             self.known += len(part)
             self.chars += sum(map(len, part))
 
+    def _library(self, part: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after another, number of ids of each chunk). Plain words are encoded as one text."""
+        plain = np.fromiter((_WORD(c) is not None for c in part), bool, len(part))
+        joined = [c for c, ok in zip(part, plain.tolist(), strict=True) if ok]
+        ids = np.array(self.library.encode(" ".join(joined), add_special_tokens=False).ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(joined):
+            plain[:], ids, last = False, ids[:0], last[:0]
+        other = [e.ids for e in self.library.encode_batch_fast([c for c, ok in zip(part, plain.tolist(), strict=True) if not ok], add_special_tokens=False)]
+        sizes = np.zeros(len(part), np.int64)
+        sizes[plain] = np.diff(last, prepend=-1)
+        sizes[~plain] = np.fromiter(map(len, other), np.int64, len(other))
+        own = np.repeat(plain, sizes)
+        flat = np.zeros(len(own), np.uint32)
+        flat[own], flat[~own] = ids, np.fromiter(chain.from_iterable(other), np.uint32, len(own) - len(ids))
+        return flat, sizes
+
     def _plain(self, text: str) -> str:
-        """The text in lower case where that cannot change its ids: no combining marks, no special token."""
+        """The text in lower case, with words set apart from symbols, where that cannot change its ids: no combining marks, no special token."""
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return text
-        return text.lower() if self.lowers and not any(a[:2] in text for a in self.added) else text
+        return _EDGE.sub(" ", text.lower()) if self.lowers and not any(a[:2] in text for a in self.added) else text
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each), without added special tokens."""

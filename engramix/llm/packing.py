@@ -29,7 +29,7 @@ from engramix.llm.common import arrow_schema, chunks, id_type, materialize, reco
 from engramix.llm.encoding import encoder
 
 #: Stop when the program is this near to its lower bound, or after so many patterns.
-GAP, MOST_PATTERNS = 5e-4, 6000
+GAP, MOST_PATTERNS = 2e-3, 6000
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
