@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from engramix.llm.decontamination import contamination
 from engramix.llm.media import media_columns
+from engramix.llm.near_duplicates import near_duplicates
 from engramix.llm.packing import pack_documents
 from engramix.llm.pii import pii_digests
 from engramix.llm.token_counts import token_counts
@@ -33,6 +34,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_media_columns": op2_media_columns,
     "op4_token_counts": op4_token_counts,
+    "op5_near_duplicates": op5_near_duplicates,
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
     "op9_pii": op9_pii,
