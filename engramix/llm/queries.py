@@ -15,6 +15,7 @@ from engramix.llm.packing import pack_documents
 from engramix.llm.pii import pii_digests
 from engramix.llm.token_counts import token_counts
 from engramix.llm.token_files import token_files
+from engramix.llm.warc import archive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,11 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table_ = archive(table(spark, sf_dir, "pages"))
+    return table_.where("is_last").select("page_id", "payload_bytes", F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -55,9 +61,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media_columns": op2_media_columns,
     "op4_token_counts": op4_token_counts,
     "op5_near_duplicates": op5_near_duplicates,
+    "op6_warc": op6_warc,
     "op7_packing": op7_packing,
     "op8_token_files": op8_token_files,
     "op9_pii": op9_pii,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        w AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM w
+    """,
+}
