@@ -26,7 +26,7 @@ LEAST_QUALITY = 0.3
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).withColumn("_key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.xxhash64("text").cast("string")))
+    return docs.select(*COLUMNS).withColumn("_key", F.concat_ws(":", F.lpad(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 20, "0"), F.xxhash64("text").cast("string")))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,13 +39,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity 0.8) stays: that with the smallest id."""
-    groups = near_duplicates(docs, width=5)
-    gone = groups.where("not kept").select("doc_id").distinct()
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    # Repeated rows of one id are one document.
-    repeated = left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    keyed = _keyed(docs)
+    groups = materialize(near_duplicates(keyed, width=5, id_col="_key"), "groups")
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_key")).distinct()
+    left = keyed.join(gone, "_key", "left_anti")
+    # Rows that repeat an id and text have one key; one of them stays. Keys met once aren't shuffled again.
+    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_key"))
+    once = left.join(repeated, "_key", "left_semi").dropDuplicates(["_key"])
+    return left.join(repeated, "_key", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
