@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -36,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, chunks, materialize, record_batch
+from engramix.llm.common import arrow_schema, chunks, file_system, materialize, record_batch, scratch
 
 #: Members and shingles of a block; a task holds two.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Columns of the matrices of a product.
 COLUMNS = 4096
+#: Bits in a row that bitmap_construct_agg makes.
+BITMAP = 32768
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -224,7 +227,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     sizes = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     placed = members.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("h1", F.lit(7)), F.col("blocks")).cast("int"))
-    sets = materialize(_sets(own.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), width), "shingle-sets")
+    sets = materialize(_sets(own, members, width), "shingle-sets")
     # A block meets itself and every other block of its cluster once.
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("bi"), F.greatest("block", o).alias("bj")))
     grid = placed.select("h1", "root", "block", F.explode(pairs).alias("p")).select("h1", "root", "block", "p.bi", "p.bj")
@@ -237,16 +240,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """h1 and the shingles of every document."""
+@lru_cache(2)
+def _bitmap(folder: str, bits: int) -> np.ndarray:
+    """The bits written to a shared folder, as bytes."""
+    from pyarrow import fs
+    from pyarrow import parquet
+
+    system, own = file_system(folder)
+    held = np.zeros((bits // BITMAP, BITMAP // 8), np.uint8)
+    for info in system.get_file_info(fs.FileSelector(own)):
+        if info.path.endswith(".parquet"):
+            with system.open_input_file(info.path) as f:
+                part = parquet.read_table(f, columns=["bucket", "bits"])
+            for k, b in zip(part["bucket"].to_pylist(), part["bits"].to_pylist(), strict=True):
+                held[k - 1] = np.frombuffer(b, np.uint8)
+    return held.reshape(-1)
+
+
+def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+    """h1 and the shingles of the members' documents and of a few others.
+
+    A bitmap of hashed ids, of bounded size and read from the shared folder, spares the
+    other texts the work and all texts a shuffle; the join on h1 that follows is exact.
+    """
     schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("shingles", T.BinaryType())])
     out = arrow_schema(schema)
+    bits = 1 << max(20, min(30, (32 * members.count()).bit_length()))
+    folder = scratch(docs.sparkSession, "member-bits")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    members.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).write.parquet(folder)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(width)
-        for _, texts in chunks(batches):
+        shingles, held = Shingler(width), _bitmap(folder, bits)
+
+        def chosen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bit = batch.column(2).to_numpy() - 1
+                yield batch.filter(pa.array((held[bit >> 3] >> (bit & 7) & 1).astype(bool)))
+
+        for _, texts in chunks(chosen()):
             sets = [s for s in map(shingles, texts) if len(s)]
             keys = [int(np.frombuffer(hashlib.blake2b(s, digest_size=16).digest(), np.int64)[0]) for s in sets]
             yield record_batch(out, keys, [s.tobytes() for s in sets])
 
-    return docs.mapInArrow(kernel, schema)
+    return docs.select("doc_id", "text", at.alias("bit")).mapInArrow(kernel, schema)
