@@ -1,14 +1,16 @@
-"""All oracle-paired queries of the engine."""
+"""All queries of the engine, by name, with their SQL where there is one."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from engramix.plans import analytics_queries, graph_queries, ingest_queries, retrieval_queries
+from engramix.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "entry"]
+PARTS = (retrieval_queries, graph_queries, ingest_queries, analytics_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The flagship query: hybrid retrieval for every benchmark item."""
+    return QUERIES["hybrid_fusion"](spark, sf_dir)
