@@ -127,7 +127,7 @@ CAND = """c AS (SELECT l_orderkey AS question_id, l_linenumber AS rank, round(0.
 
 
 @query(f"""WITH {CAND}, w AS (SELECT *, avg(sem) OVER w AS mu, stddev_pop(sem) OVER w AS sigma, max(sem) OVER w AS top1, coalesce(nth_value(sem, 2) OVER (PARTITION BY question_id ORDER BY sem DESC, rank ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS top2 FROM c WINDOW w AS (PARTITION BY question_id)),
-    z AS (SELECT *, round(mu, 9) AS m9, round(sigma, 9) AS s9, round(top1 - top2, 9) AS margin FROM w),
+    z AS (SELECT *, mu AS m9, sigma AS s9, top1 - top2 AS margin FROM w),
     r AS (SELECT *, CASE WHEN sem >= 0.60 AND shared >= 1 THEN 'R1' WHEN sem >= 0.54 AND (sem >= m9 + 0.9 * s9 OR (margin >= 0.06 AND (top1 - m9) / greatest(1e-6, s9) >= 0.8)) THEN 'R2' WHEN lex >= 0.60 AND shared >= 3 THEN 'R3' END AS rule FROM z)
     SELECT question_id, min(CASE WHEN rule IS NOT NULL THEN rank END) AS rank, (min(struct_pack(r := rank, u := rule)) FILTER (rule IS NOT NULL)).u AS rule, round(any_value(mu), 7) AS mu, round(any_value(sigma), 7) AS sigma, round(any_value(margin), 7) AS margin FROM r GROUP BY question_id""")
 def calibrated_rank(t: Tables) -> DataFrame:
