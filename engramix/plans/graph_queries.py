@@ -96,9 +96,10 @@ def graph_path_bfs(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {T}, {S}, h1 AS (SELECT DISTINCT query_id, scope, nb AS name FROM st JOIN und USING (scope, name))
-    SELECT query_id, name FROM h1 JOIN nodes USING (scope, name) WHERE aw >= 0.9 AND (query_id, name) NOT IN (SELECT (query_id, name) FROM st)""")
+    SELECT query_id, name FROM h1 JOIN nodes USING (scope, name) WHERE round(aw, 6) >= 0.9 AND (query_id, name) NOT IN (SELECT (query_id, name) FROM st)""")
 def entity_expansion(t: Tables) -> DataFrame:
     nodes, _, edges = graph(t)
+    nodes = nodes.withColumn("attention_weight_sum", F.round("attention_weight_sum", 6))
     return gr.expand_entities(nodes, edges, starts(edges), 1, 0.9)
 
 

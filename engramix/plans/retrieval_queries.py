@@ -46,13 +46,13 @@ def topk_sql(where: str, k: int = 10) -> str:
     WITH {VECTORS},
     s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, {COSINE} AS score FROM e a, e b WHERE b.vec_id % 25 = 0 AND a.vec_id <> b.vec_id {where}),
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)
-    SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= {k}
+    SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(score, 9) AS score FROM r WHERE rank <= {k}
     """
 
 
 def rounded_rank(df: DataFrame, k: int) -> DataFrame:
     """Ranks by the score to nine places, so that sums in another order don't swap ties."""
-    return rt.ranked(df.drop("rank").withColumn("score", F.round("score", 9)), k).withColumn("score", F.round("score", 6)).select("query_id", "id", "rank", "score")
+    return rt.ranked(df.drop("rank").withColumn("score", F.round("score", 9)), k).select("query_id", "id", "rank", "score")
 
 
 @query(topk_sql(""))
