@@ -76,12 +76,12 @@ WEIGHTED = f"""{T}, {S},
     alls AS (SELECT query_id, sid, max(score) AS score FROM (SELECT * FROM direct UNION ALL SELECT * FROM far WHERE (query_id, sid) NOT IN (SELECT (query_id, sid) FROM direct)) GROUP BY ALL)"""
 
 
-@query(f"""WITH {WEIGHTED} SELECT query_id, sid AS sentence_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sid) AS n FROM alls) WHERE n <= 30""")
+@query(f"""WITH {WEIGHTED} SELECT query_id, sid AS sentence_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sid) AS n FROM alls) WHERE n <= 30""")
 def graph_weighted_bfs(t: Tables) -> DataFrame:
     nodes, links, edges = (materialize(x, "graph") for x in graph(t))
     found = gr.weighted_search(nodes, links, edges, starts(edges), 2, most=1_000_000).withColumn("score", F.round("score", 9))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "sentence_id")
-    return found.withColumn("n", F.row_number().over(w)).where("n <= 30").select("query_id", "sentence_id", F.round("score", 6).alias("score"))
+    return found.withColumn("n", F.row_number().over(w)).where("n <= 30").select("query_id", "sentence_id", "score")
 
 
 @query()
