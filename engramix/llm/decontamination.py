@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, chunks, file_system, id_type, materialize, record_batch, scratch, text_frame
+from engramix.llm.common import arrow_schema, chunks, file_system, id_type, lean, materialize, record_batch, scratch, text_frame
 
 #: Benchmark text in one block of phrases; an executor holds two blocks at most.
 BLOCK_BYTES = 16 << 20
@@ -79,7 +79,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 steps[first] = positions[first]
             yield record_batch(out, [ids.to_pylist()], [_planes(lengths)], [b" ".join(numbers)], [_planes(counts)], [_planes(steps)])
 
-    return materialize(text_frame(docs, id_col, text_col).mapInArrow(kernel, schema), "positional-index")
+    return materialize(text_frame(docs, id_col, text_col).mapInArrow(lean(kernel), schema), "positional-index")
 
 
 class Segment:
@@ -253,7 +253,7 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, item_col: str =
                 spans[d] = [{"first": int(a), "last": int(b) - 1} for a, b in zip(own[::2], own[1::2], strict=True)]
             yield record_batch(out, ids, pa.array(segment.lengths), pa.array(n_hit), [sorted(x) for x in found], spans)
 
-    return index.mapInArrow(kernel, schema)
+    return index.mapInArrow(lean(kernel), schema)
 
 
 def proximity(index: DataFrame, items: DataFrame, slop: int = 20, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -273,7 +273,7 @@ def proximity(index: DataFrame, items: DataFrame, slop: int = 20, item_col: str
             rows = sorted(n)
             yield record_batch(out, ids.take(pa.array([d for d, _ in rows], pa.int64())), [name for _, name in rows], [n[r] for r in rows])
 
-    return index.mapInArrow(kernel, schema)
+    return index.mapInArrow(lean(kernel), schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

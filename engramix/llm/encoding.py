@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 
 #: A worker's cache is emptied beyond so many chunks, or characters in them.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 24 << 20
+CACHE_ENTRIES, CACHE_CHARS = 900_000, 16 << 20
 
 
 #: A place between a letter and a symbol other than an apostrophe: the tokenizer splits there too.

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, chunks, id_type, record_batch, text_frame
+from engramix.llm.common import arrow_schema, chunks, id_type, lean, record_batch, text_frame
 
 #: Rows of the fit; a fifth of them only set the temperature.
 SAMPLE = 6000
@@ -156,7 +156,7 @@ def train(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: s
         yield record_batch(out, pa.array(at), pa.array(total[at]))
 
     df = np.zeros(size + 1)
-    for r in text_frame(rows, "doc_id", "text").mapInArrow(frequencies, counted).groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row for each bucket at most
+    for r in text_frame(rows, "doc_id", "text").mapInArrow(lean(frequencies), counted).groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row for each bucket at most
         df[r["bucket"]] = r["n"]
     if not df[-1]:
         return Model([], np.zeros((size, 0), np.float32), np.zeros(0))
@@ -179,4 +179,4 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             names, scores = shared.value.predict([t.decode("utf-8", "replace") for t in texts])
             yield record_batch(out, ids, names, scores)
 
-    return text_frame(docs, id_col, text_col).mapInArrow(kernel, schema)
+    return text_frame(docs, id_col, text_col).mapInArrow(lean(kernel), schema)

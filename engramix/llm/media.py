@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from engramix.llm import jpeg
-from engramix.llm.common import arrow_schema, chunks, id_type, record_batch, text_frame
+from engramix.llm.common import arrow_schema, chunks, id_type, lean, record_batch, text_frame
 
 
 def payload(text: bytes) -> np.ndarray:
@@ -61,4 +61,4 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     column.append(x)
             yield record_batch(out, ids, *rows)
 
-    return text_frame(docs, id_col, text_col).mapInArrow(kernel, schema)
+    return text_frame(docs, id_col, text_col).mapInArrow(lean(kernel), schema)

@@ -33,11 +33,12 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, chunks, file_system, materialize, record_batch, scratch
+from engramix.llm.common import arrow_schema, chunks, file_system, lean, materialize, record_batch, scratch
 
 #: Members and shingles of a block; a task holds two.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
@@ -57,7 +58,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
 
 
@@ -71,7 +72,7 @@ class Shingler:
     def __call__(self, text: bytes) -> np.ndarray:
         # bytes.lower and bytes.split know ASCII only, as the definition of words does
         split = text.lower().split()
-        if len(self.words) > 500_000:
+        if len(self.words) > 200_000:
             self.words.clear()
         hashes = np.fromiter(map(self.words.__getitem__, split), np.uint64, len(split))
         if not len(hashes):
@@ -125,7 +126,7 @@ def signatures(docs: DataFrame, width: int, groups: int, rows: int) -> DataFrame
                     h1[i], h2[i], first[i], second[i] = int(digest[0]), int(digest[1]), row[:groups], row[groups:]
             yield record_batch(out, ids, [len(s) for s in sets], h1, h2, first, second)
 
-    return docs.mapInArrow(kernel, schema)
+    return docs.mapInArrow(lean(kernel), schema)
 
 
 def candidate_stars(classes: DataFrame) -> DataFrame:
@@ -283,4 +284,4 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
             keys = [int(np.frombuffer(hashlib.blake2b(s, digest_size=16).digest(), np.int64)[0]) for s in sets]
             yield record_batch(out, keys, [s.tobytes() for s in sets])
 
-    return docs.select("doc_id", "text", at.alias("bit")).mapInArrow(kernel, schema)
+    return docs.select("doc_id", "text", at.alias("bit")).mapInArrow(lean(kernel), schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, chunks, id_type, materialize, record_batch, text_frame
+from engramix.llm.common import arrow_schema, chunks, id_type, lean, materialize, record_batch, text_frame
 from engramix.llm.encoding import encoder
 
 #: Stop when the program is this near to its lower bound, or after so many patterns.
@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: st
                 crc.append(zlib.crc32(end, zlib.crc32(flat[a : a + n - 1])) if last else zlib.crc32(flat[a : a + n]))
             yield record_batch(out, ids.take(pa.array(doc)), pa.array(start), pa.array(size), crc, pa.array(whole[doc]))
 
-    return text_frame(docs, id_col, text_col).mapInArrow(kernel, schema)
+    return text_frame(docs, id_col, text_col).mapInArrow(lean(kernel), schema)
 
 
 def price(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -182,7 +182,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 4096, end_id:
             size, rank = b.column(5).to_numpy(), b.column(6).to_numpy()
             yield record_batch(out, *(b.column(i) for i in range(7)), pa.array(where.sequence(size, rank) if len(size) else np.zeros(0, np.int64)))
 
-    placed = ranked.select(*names, "size", "rank").mapInArrow(assign, schema)
+    placed = ranked.select(*names, "size", "rank").mapInArrow(lean(assign), schema)
     # A sequence holds at most ``length`` pieces.
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "rank")
     return placed.withColumn("offset", F.sum("length").over(inside) - F.col("length")).select(*names, "sequence_id", "offset")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, chunks, id_type, record_batch, text_frame
+from engramix.llm.common import arrow_schema, chunks, id_type, lean, record_batch, text_frame
 
 #: Labelled rows of the fit, chosen by a hash of the id.
 SAMPLE = 12_000
@@ -126,7 +126,7 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, label_col: str =
                 yield record_batch(out, batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), [ids.tolist()])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "h", "label").mapInArrow(kernel, kind)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "h", "label").mapInArrow(lean(kernel), kind)
     held = rows.orderBy("h", F.xxhash64("ids")).limit(2 * SAMPLE).toPandas()
     made = []
     for ids in held["ids"]:
@@ -145,8 +145,8 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets()
         for ids, texts in chunks(batches, 1 << 20):
-            if len(buckets) > 500_000:
+            if len(buckets) > 200_000:
                 buckets.clear()
             yield record_batch(out, ids, pa.array(shared.value.score([inputs(t, buckets) for t in texts])))
 
-    return text_frame(docs, id_col, text_col).mapInArrow(kernel, schema)
+    return text_frame(docs, id_col, text_col).mapInArrow(lean(kernel), schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, chunks, id_type, record_batch, text_frame
+from engramix.llm.common import arrow_schema, chunks, id_type, lean, record_batch, text_frame
 
 #: Pre-tokens whose counts a worker remembers; the cache is emptied when full.
 CACHE_ENTRIES = 1_000_000
@@ -274,4 +274,4 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
             n = counter.count([t.decode("utf-8", "replace") for t in texts])
             yield record_batch(out, ids, [len(t) for t in texts], n, [x > limit for x in n])
 
-    return text_frame(docs, id_col, text_col).mapInArrow(kernel, schema)
+    return text_frame(docs, id_col, text_col).mapInArrow(lean(kernel), schema)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, chunks, commit_file, file_system, id_type, materialize, record_batch, scratch, text_frame
+from engramix.llm.common import arrow_schema, chunks, commit_file, file_system, id_type, lean, materialize, record_batch, scratch, text_frame
 from engramix.llm.encoding import encoder
 
 MAGIC = b"TOKBITS1"
@@ -174,7 +174,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
             system.delete_file(name + ".open")
 
     dealt = text_frame(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return materialize(dealt.mapInArrow(kernel, MANIFEST), "token-manifest")
+    return materialize(dealt.mapInArrow(lean(kernel), MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, id_kind: T.DataType, with_ids: bool = False) -> DataFrame:
@@ -212,7 +212,7 @@ def read_token_files(manifest: DataFrame, id_kind: T.DataType, with_ids: bool =
 
     # One row for each file: the running sum is over as many rows as there are partitions.
     files = manifest.withColumn("base", F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).select("path", "base")
-    return files.repartition(max(1, manifest.count())).mapInArrow(kernel, schema)
+    return files.repartition(max(1, manifest.count())).mapInArrow(lean(kernel), schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, commit_file, file_system, id_type, materialize, record_batch, scratch
+from engramix.llm.common import arrow_schema, commit_file, file_system, id_type, lean, materialize, record_batch, scratch
 
 #: Bytes of payload in a row of the table, and bytes read at a time.
 CHUNK = 1 << 20
@@ -99,7 +99,7 @@ def write_archives(classified: DataFrame, folder: str) -> DataFrame:
         else:
             system.delete_file(name + ".open")
 
-    return materialize(classified.select("page_id", "url", "payload", "refers_to").mapInArrow(kernel, MANIFEST), "warc-manifest")
+    return materialize(classified.select("page_id", "url", "payload", "refers_to").mapInArrow(lean(kernel), MANIFEST), "warc-manifest")
 
 
 class _Stream:
@@ -214,7 +214,7 @@ def read_archives(manifest: DataFrame, id_kind: T.DataType, with_data: bool = Fa
                 if held:
                     yield record_batch(out, *map(list, zip(*held, strict=True)))
 
-    table = manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(kernel, raw)
+    table = manifest.select("path").repartition(max(1, manifest.count())).mapInArrow(lean(kernel), raw)
     return table.withColumns({n: F.col(n).cast(t) for n, t in kinds if n in ids})
 
 
