@@ -228,7 +228,7 @@ class MemoryEngine:
         planned = materialize(embed(planned, "query", self.embedder), "questions")
         semantic = rt.vector_topk(memories, planned.select("query_id", "scope", "vector"), deep, scoped=True)
         keyed = memories.select("id", F.col("text_lemmatized").alias("text"))
-        raw = rt.bm25(keyed, planned.select("query_id", lemmas(F.col("query")).alias("text")))
+        raw = rt.bm25_topk(keyed, planned.select("query_id", lemmas(F.col("query")).alias("text")), deep).withColumnRenamed("score", "bm25")
         terms = planned.select("query_id", F.size(tx.raw_tokens(lemmas(F.col("query")))).alias("terms"))
         mid, steep = nm.bm25_parameters(F.col("terms"))
         keyword = raw.join(terms, "query_id").select("query_id", "id", (1 / (1 + F.exp(-steep * (F.col("bm25") - mid)))).alias("bm25"))

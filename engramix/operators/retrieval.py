@@ -20,6 +20,8 @@ from engramix.functions import text as tx
 
 #: Queries that meet the memories in one pass; larger sets are cut in blocks.
 QUERY_BLOCK = 4096
+#: The same for keyword search, where a block also has a column of weights for each query.
+TERM_BLOCK = 256
 
 
 def ranked(df: DataFrame, k: int | Column, key: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
@@ -99,6 +101,62 @@ def bm25(memories: DataFrame, queries: DataFrame, text: str = "text", k1: float
     return kept.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
 
 
+def bm25_topk(memories: DataFrame, queries: DataFrame, k: int, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_id, id, score, rank: the k best of ``bm25`` for each query.
+
+    Document frequencies of the query terms are one small aggregate. Scores come from a
+    product of term and query matrices for each Arrow batch, and a batch passes on its own
+    k best, so common terms don't multiply postings by queries.
+    """
+    spark = memories.sparkSession
+    id_kind, query_kind = (df.schema[c].dataType.simpleString() for df, c in ((memories, "id"), (queries, "query_id")))
+    terms = memories.select("id", tx.raw_tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
+    wanted = queries.select("query_id", F.array_distinct(tx.raw_tokens(F.coalesce(F.col("text"), F.lit("")))).alias("wanted"))
+    n, mean = terms.agg(F.count("*"), F.avg(F.size("terms"))).first()
+    vocabulary = wanted.select(F.explode("wanted").alias("term")).distinct()
+    df = terms.select(F.explode(F.array_distinct("terms")).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
+    blocks = -(-queries.count() // TERM_BLOCK)
+    found = None
+    for block in range(max(1, blocks)):
+        part = wanted if blocks <= 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        rows = part.collect()  # one block of the query set
+        own = {r["term"]: r["df"] for r in df.join(part.select(F.explode("wanted").alias("term")).distinct(), "term", "left_semi").collect()}
+        place = {t: i for i, t in enumerate(sorted(own))}
+        weights = np.zeros((len(place), len(rows)))
+        for j, r in enumerate(rows):
+            for t in r["wanted"]:
+                if t in place:
+                    weights[place[t], j] = np.log(1 + (n - own[t] + 0.5) / (own[t] + 0.5))
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], place, weights, float(mean or 0)))
+
+        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            names, numbers, w, average = shared.value
+            step = max(1, (1 << 21) // max(1, len(numbers), len(names)))
+            for batch in batches:
+                out = []
+                for first in range(0, len(batch) if len(numbers) else 0, step):
+                    some = batch.iloc[first : first + step]
+                    tf = np.zeros((len(some), len(numbers)))
+                    length = np.zeros(len(some))
+                    for i, found_terms in enumerate(some["terms"]):
+                        length[i] = len(found_terms)
+                        at = [x for x in map(numbers.get, found_terms) if x is not None]
+                        np.add.at(tf[i], at, 1)
+                    score = (tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / average))[:, None] + 1e-300)) @ w
+                    own_ids = some["id"].to_numpy()
+                    for j, query in enumerate(names):
+                        at = np.flatnonzero(score[:, j] > 0)
+                        if len(at) > k:
+                            # A little slack keeps what rounding could call a tie.
+                            at = at[score[at, j] >= np.partition(score[at, j], len(at) - k)[len(at) - k] - 1e-5]
+                        out += zip([query] * len(at), own_ids[at].tolist(), score[at, j].tolist(), strict=True)
+                yield pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+        scored = terms.mapInPandas(best, f"query_id {query_kind}, id {id_kind}, score double")
+        found = scored if found is None else found.unionByName(scored)
+    return ranked(found.withColumn("score", F.round("score", 6)), k)
+
+
 def entity_boosts(query_entities: DataFrame, entities: DataFrame, weight: float = 0.5, least: float = 0.5, most_entities: int = 8, most_matches: int = 500) -> DataFrame:
     """query_id, id, boost: the best attenuated similarity over the entities that a memory is linked to.
 

@@ -84,7 +84,7 @@ def evidence(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     from engramix.plans.retrieval_queries import doc_memories, items
     from engramix.operators import retrieval as rt
 
-    top = rt.ranked(rt.bm25(doc_memories(t), items(t)).select("query_id", "id", F.round("bm25", 6).alias("score")), 50)
+    top = rt.bm25_topk(doc_memories(t), items(t), 50)
     results = top.join(doc_memories(t), "id").select(F.col("query_id").alias("question_id"), F.col("rank"), "text", "score")
     questions = t.benchmark.select(F.col("item_id").alias("question_id"), (F.col("item_id") % 4).cast("string").alias("category"))
     return questions, t.benchmark.select(F.col("item_id").alias("question_id"), F.lit("e0").alias("evidence_id"), "text"), results

@@ -87,13 +87,12 @@ def items(t: Tables) -> DataFrame:
     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS rank FROM raw)
     SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(bm25, 6) AS score FROM r WHERE rank <= 10""")
 def bm25_topk(t: Tables) -> DataFrame:
-    raw = rt.bm25(doc_memories(t), items(t)).select("query_id", "id", F.round("bm25", 6).alias("score"))
-    return rt.ranked(raw, 10).select("query_id", "id", "rank", "score")
+    return rt.bm25_topk(doc_memories(t), items(t), 10).select("query_id", "id", "rank", "score")
 
 
 def semantic(t: Tables) -> DataFrame:
     """Coverage of the item's words stands for the semantic score."""
-    pairs = rt.ranked(rt.bm25(doc_memories(t), items(t)).select("query_id", "id", F.round("bm25", 6).alias("score")), 40)
+    pairs = rt.bm25_topk(doc_memories(t), items(t), 40)
     texts = pairs.join(items(t).withColumnRenamed("text", "query"), "query_id").join(doc_memories(t), "id")
     return texts.select("query_id", "id", F.round(tx.coverage(tx.content_tokens(F.col("query")), tx.content_tokens(F.col("text"))), 6).alias("score"), F.col("score").alias("raw"), "query", "text")
 
@@ -105,6 +104,12 @@ SEMANTIC = f"""{BM25},
     scored AS (SELECT *, round(len(list_intersect(qt, mt)) / greatest(1, len(qt)), 6) AS score FROM sem)"""
 
 
+@query(f"WITH {BM25} SELECT query_id, id, round(bm25, 5) AS bm25 FROM raw WHERE query_id % 10 = 0")
+def bm25_scores(t: Tables) -> DataFrame:
+    """All scores of some queries, by joins."""
+    return rt.bm25(doc_memories(t), items(t).where("query_id % 10 = 0")).withColumn("bm25", F.round("bm25", 5))
+
+
 @query(f"""WITH {SEMANTIC},
     parts AS (SELECT query_id, id, score AS semantic, 1 / (1 + exp(-0.1 * (raw - 20))) AS bm25, CAST(CASE WHEN id % 7 = 0 THEN 0.3 ELSE 0.0 END AS DOUBLE) AS boost FROM scored WHERE score >= 0.1),
     f AS (SELECT *, round(least(1.0, (semantic + bm25 + boost) / (1 + CASE WHEN bm25 > 0 THEN 1 ELSE 0 END + CASE WHEN boost > 0 THEN 0.5 ELSE 0 END)), 8) AS score FROM parts)
