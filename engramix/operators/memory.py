@@ -72,7 +72,7 @@ def fact_memories(facts: DataFrame, triples: DataFrame, units: DataFrame) -> Dat
 
 def entity_memories(summaries: DataFrame) -> DataFrame:
     """Entity summaries as memories under ids that follow from scope and name. summaries: scope, name, display, summary."""
-    return summaries.select(nm.uuid5(F.concat(F.lit("mag_entity:"), F.col("scope"), F.lit(":"), F.col("name"))).alias("id"), "scope", F.concat(F.coalesce("display", "name"), F.lit(":\n"), F.col("summary")).alias("data"), F.lit("entity_node").alias("graph_object"))
+    return summaries.select(nm.uuid5(F.concat(F.lit("entity:"), F.col("scope"), F.lit(":"), F.col("name"))).alias("id"), "scope", F.concat(F.coalesce("display", "name"), F.lit(":\n"), F.col("summary")).alias("data"), F.lit("entity_node").alias("graph_object"))
 
 
 def project(memories: DataFrame) -> DataFrame:
