@@ -251,6 +251,8 @@ class MemoryEngine:
         if o.use_rerank if rerank is None else rerank:
             shown = rt.rerank(rt.rerank_pool(shown, k).withColumn("logit", logits(self.reranker)(F.col("query"), F.col("memory")))).drop("logit")
         shown = materialize(shown, "candidates")
+        if o.linear_rag_enabled and self.store.versions("edges"):
+            shown = materialize(self._supplemented(shown, planned, memories, k), "supplemented")
         if o.use_context_window:
             more = rt.neighbours(shown.select("query_id", "id", "score"), memories)
             own = shown.drop("score")
@@ -275,6 +277,18 @@ class MemoryEngine:
         merged = rt.merge_routes(graph, validated.select("query_id", "id", "score"), k)
         return rt.with_fallback(merged, validated.select("query_id", "id", "score"), min(k, pool))
 
+    def _supplemented(self, shown: DataFrame, planned: DataFrame, memories: DataFrame, k: int) -> DataFrame:
+        """Candidates of questions with weak results, joined by sentences of their seed entities' neighbours."""
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        seeds = rt.seed_entities(shown.withColumn("rank", F.row_number().over(w))).withColumnRenamed("entity", "name")
+        starts = seeds.join(planned.select("query_id", "scope"), "query_id")
+        near = gr.expand_entities(self.table("nodes"), self.table("edges"), starts).withColumnRenamed("name", "entity").join(planned.select("query_id", "scope"), "query_id")
+        linked = near.join(self.table("node_links").withColumnRenamed("name", "entity"), ["scope", "entity"]).select("query_id", "entity", F.col("sentence_id").alias("id"))
+        more = rt.supplement(shown.select("query_id", "id", "score"), linked, k, self.options.linear_rag_threshold)
+        extra = more.join(shown.select("query_id", "id"), ["query_id", "id"], "left_anti").join(memories.select("id", F.col("data").alias("memory"), "created_at", "entities", "prev_id", "next_id", "user_id", "agent_id", "run_id"), "id")
+        extra = extra.withColumn("source", F.lit("linear_rag")).join(planned.select("query_id", "query", "plan"), "query_id")
+        return shown.unionByName(extra, allowMissingColumns=True)
+
     def update(self, memory_id: str, data: str, metadata: dict | None = None, now: str | None = None) -> DataFrame:
         """New text of a memory: its hash, words and vector follow; ids, role and creation stay; the change is recorded."""
         known = self.table("memories")

@@ -131,6 +131,21 @@ def test_engine(spark, tmp_path):
     assert e.table("memories").count() == 0
 
 
+def test_engine_options(spark, tmp_path):
+    o = sc.Options(linear_rag_enabled=True, linear_rag_threshold=1.0, use_context_window=True, use_entity_match=True, segmentation_strategy="raw")
+    e = me.MemoryEngine(spark, f"file:{tmp_path}/engine", o, HashedEmbedder(64))
+    e.add("Alice was in Rome. Bob was in Oslo. Alice has Bob.", user_id="u", default_timestamp="2023-07-01T10:00:00")
+    assert e.search("Where was Alice?", filters={"user_id": "u"}, top_k=4).count() == 4
+    e.add("How to pack", user_id="u", memory_type="procedural_memory", prompt="Steps")
+    assert "Steps" in [r["memory"] for r in e.get_all({"user_id": "u"}).collect() if r["role"] == "system_summary"][0]
+
+
+def test_usage(spark, tmp_path):
+    rows = spark.createDataFrame([("t", "judge", "p", "m", "text", 1, 2, 3)] * 2, logs.USAGE)
+    logs.append_usage(rows, str(tmp_path / "u"))
+    assert tuple(logs.usage(spark, str(tmp_path / "u")).first()) == ("judge", "m", 2, 6)
+
+
 def test_options_and_config():
     assert sc.Options.from_env({"MEMORY_USE_BFS": "no", "MEMORY_MAX_HOPS": "2", "MEMORY_USE_RERANK": "YES"}) == sc.Options(use_bfs=False, max_hops=2)
     assert sc.expanded({"a": ["${X}/y"], "b": 1}, {"X": "z"}) == {"a": ["z/y"], "b": 1}
