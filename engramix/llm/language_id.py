@@ -121,7 +121,7 @@ def fit(texts: list[str], languages: list[str], idf: np.ndarray, aside: np.ndarr
         for i in order.permutation(learn).tolist():
             ids, x = rows[i]
             w = weights(ids)
-            p = softmax((x @ w)[None])[0]
+            p = softmax((x[:, None] * w).sum(axis=0)[None])[0]
             p[y[i]] -= 1
             g = x[:, None] * p
             sigma = (np.sqrt(n[ids] + g * g) - np.sqrt(n[ids])) / ALPHA

@@ -17,6 +17,7 @@ id and the text are not read.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from engramix.llm.common import arrow_schema, chunks, id_type, lean, materialize
 from engramix.llm.encoding import encoder
 
 #: Stop when the program is this near to its lower bound, or after so many patterns.
-GAP, MOST_PATTERNS = 2e-3, 6000
+GAP, MOST_PATTERNS = 1e-3, 3000
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -80,6 +81,45 @@ def price(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, np.nd
     return float(best[room]), pattern
 
 
+def _start(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """A first basis and its solution: for each size, largest first, a pattern of it and of smaller sizes that suffice for all its times.
+
+    The matrix is triangular, so it has an inverse, and the solution is that of filling sequences largest first.
+    """
+    m, size, left = len(sizes), sizes.tolist(), demand.tolist()
+    columns, x = np.zeros((m, m)), np.zeros(m)
+    for i in range(m - 1, -1, -1):
+        own = room // size[i]
+        columns[i, i] = own
+        times = x[i] = left[i] / own
+        space, j = room - own * size[i], i - 1
+        while times > 0 and j >= 0 and space >= size[0]:
+            j = min(j, bisect_right(size, space) - 1)
+            n = int(min(space // size[j], left[j] // times))
+            if n:
+                columns[j, i] = n
+                left[j] -= n * times
+                space -= n * size[j]
+            j -= 1
+    return columns, x
+
+
+def _inverse(upper: np.ndarray) -> np.ndarray:
+    """Inverse of a sparse upper triangular matrix, row by row from the last.
+
+    Sums of rows, no matrix product: a driver's threaded linear algebra can wait for
+    threads that a fork has ended.
+    """
+    m = len(upper)
+    out = np.zeros((m, m))
+    for i in range(m - 1, -1, -1):
+        out[i, i] = 1
+        for j in (i + 1 + np.flatnonzero(upper[i, i + 1 :])).tolist():
+            out[i] -= upper[i, j] * out[j]
+        out[i] /= upper[i, i]
+    return out
+
+
 def patterns(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
     """(pattern as size -> count, times) that together hold every item of the histogram (size -> items)."""
     sizes = np.array(sorted(s for s, n in histogram.items() if n), np.int64)
@@ -87,10 +127,9 @@ def patterns(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int],
         return []
     demand = np.array([histogram[int(s)] for s in sizes], float)
     m = len(sizes)
-    columns = np.diag(room // sizes).astype(float)
-    inverse = np.diag(1 / (room // sizes))
-    x = inverse @ demand
-    area = float(demand @ sizes) / room
+    columns, x = _start(sizes, demand, room)
+    inverse = _inverse(columns)
+    area = float((demand * sizes).sum()) / room
     bound = area
     for _ in range(MOST_PATTERNS):
         duals = inverse.sum(axis=0)
@@ -99,7 +138,8 @@ def patterns(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int],
         bound = max(bound, total / max(value, 1))
         if value <= 1 + 1e-9 or total <= bound * (1 + GAP):
             break
-        step = inverse @ new
+        some = np.flatnonzero(new)
+        step = (inverse[:, some] * new[some]).sum(axis=1)
         enters = step > 1e-9
         if not enters.any():
             break
@@ -115,7 +155,7 @@ def patterns(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int],
         inverse[out] = row
         columns[:, out] = new
     times = np.floor(x + 1e-9).astype(np.int64)
-    left = demand.astype(np.int64) - columns.astype(np.int64) @ times
+    left = demand.astype(np.int64) - (columns.astype(np.int64) * times).sum(axis=1)
     made: list[tuple[dict[int, int], int]] = []
     for k in np.flatnonzero(times):
         made.append(({int(sizes[i]): int(columns[i, k]) for i in np.flatnonzero(columns[:, k])}, int(times[k])))
@@ -156,7 +196,7 @@ class Slots:
         return self.base[at] + (key - self.key[at]) // self.count[at]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, unit: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 2, unit: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     spark = docs.sparkSession
     if length % unit:

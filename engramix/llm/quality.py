@@ -99,7 +99,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Machin
             vi = v[ids]
             vx = vi * x[:, None]
             s = vx.sum(axis=0)
-            raw = bias + float(w[ids] @ x) + 0.5 * float(s @ s - (vx * vx).sum())
+            raw = bias + float((w[ids] * x).sum()) + 0.5 * float((s * s).sum() - (vx * vx).sum())
             g = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[i]
             dw = g * x + L2 * w[ids]
             dv = g * x[:, None] * (s - vx) + L2V * vi
