@@ -88,10 +88,23 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The kernel, leaving its worker without memory that it no longer needs."""
+#: What a worker process keeps between tasks: functions that let it go, by name.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def kept(name: str, forget: Callable[[], None]) -> None:
+    """Register something that a worker keeps for later tasks of the same kernel."""
+    _KEPT[name] = forget
+
+
+def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The kernel, in a worker that holds only what this kernel uses, before and after."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, forget in _KEPT.items():
+            if name != uses:
+                forget()
+        release()
         try:
             yield from kernel(batches)
         finally:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, chunks, file_system, id_type, lean, materialize, record_batch, scratch, text_frame
+from engramix.llm.common import arrow_schema, chunks, file_system, id_type, kept, lean, materialize, record_batch, scratch, text_frame
 
 #: Benchmark text in one block of phrases; an executor holds two blocks at most.
 BLOCK_BYTES = 16 << 20
@@ -66,7 +66,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = arrow_schema(schema)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, 2 << 20):
             split = [words(t) for t in texts]
             lengths = np.fromiter(map(len, split), np.int64, len(split))
             numbers = _Numbers()
@@ -200,6 +200,9 @@ def _phrases(path: str) -> Phrases:
         return pickle.loads(f.read())
 
 
+kept("phrases", _phrases.cache_clear)
+
+
 def write_phrases(items: DataFrame, width: int, id_col: str = "item_id", text_col: str = "text") -> list[str]:
     """Write the phrases in blocks of bounded size to the shared folder; returns their paths."""
     rows = items.select(F.col(id_col).cast("string").alias("name"), F.col(text_col).cast("binary").alias("text")).where("name is not null and text is not null")
@@ -253,7 +256,7 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, item_col: str =
                 spans[d] = [{"first": int(a), "last": int(b) - 1} for a, b in zip(own[::2], own[1::2], strict=True)]
             yield record_batch(out, ids, pa.array(segment.lengths), pa.array(n_hit), [sorted(x) for x in found], spans)
 
-    return index.mapInArrow(lean(kernel), schema)
+    return index.mapInArrow(lean(kernel, "phrases"), schema)
 
 
 def proximity(index: DataFrame, items: DataFrame, slop: int = 20, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -273,7 +276,7 @@ def proximity(index: DataFrame, items: DataFrame, slop: int = 20, item_col: str
             rows = sorted(n)
             yield record_batch(out, ids.take(pa.array([d for d, _ in rows], pa.int64())), [name for _, name in rows], [n[r] for r in rows])
 
-    return index.mapInArrow(lean(kernel), schema)
+    return index.mapInArrow(lean(kernel, "phrases"), schema)
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,8 +16,10 @@ from itertools import chain
 
 import numpy as np
 
+from engramix.llm.common import kept
+
 #: A worker's cache is emptied beyond so many chunks, or characters in them.
-CACHE_ENTRIES, CACHE_CHARS = 600_000, 12 << 20
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 8 << 20
 
 
 #: A place between a letter and a symbol other than an apostrophe: the tokenizer splits there too.
@@ -147,6 +149,9 @@ def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+kept("encoder", encoder.cache_clear)
+
+
 def _splits_at_spaces(made: dict) -> bool:
     """Whether a text's ids are those of its space-separated chunks, one after another."""
 

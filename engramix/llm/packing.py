@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: st
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)
         end = np.array([end_id], "<u4")
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, 1 << 20):
             flat, counts = made.encode([t.decode("utf-8", "replace") for t in texts])
             flat = flat.astype("<u4")
             whole = counts + 1
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: st
                 crc.append(zlib.crc32(end, zlib.crc32(flat[a : a + n - 1])) if last else zlib.crc32(flat[a : a + n]))
             yield record_batch(out, ids.take(pa.array(doc)), pa.array(start), pa.array(size), crc, pa.array(whole[doc]))
 
-    return text_frame(docs, id_col, text_col).mapInArrow(lean(kernel), schema)
+    return text_frame(docs, id_col, text_col).mapInArrow(lean(kernel, "encoder"), schema)
 
 
 def price(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -222,7 +222,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = 4096, end_id:
             size, rank = b.column(5).to_numpy(), b.column(6).to_numpy()
             yield record_batch(out, *(b.column(i) for i in range(7)), pa.array(where.sequence(size, rank) if len(size) else np.zeros(0, np.int64)))
 
-    placed = ranked.select(*names, "size", "rank").mapInArrow(lean(assign), schema)
+    placed = ranked.select(*names, "size", "rank").mapInArrow(lean(assign, "encoder"), schema)
     # A sequence holds at most ``length`` pieces.
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("size"), "rank")
     return placed.withColumn("offset", F.sum("length").over(inside) - F.col("length")).select(*names, "sequence_id", "offset")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, chunks, id_type, lean, record_batch, text_frame
+from engramix.llm.common import arrow_schema, chunks, id_type, kept, lean, record_batch, text_frame
 
 #: Pre-tokens whose counts a worker remembers; the cache is emptied when full.
 CACHE_ENTRIES = 1_000_000
@@ -263,6 +263,9 @@ def merge_counter(path: str) -> MergeCounter:
         return MergeCounter(f.read())
 
 
+kept("counter", merge_counter.cache_clear)
+
+
 def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text. No shuffle: one pass over the scan."""
     schema = T.StructType([T.StructField("doc_id", id_type(docs, id_col)), T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
@@ -270,8 +273,8 @@ def token_counts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = merge_counter(model_path)
-        for ids, texts in chunks(batches):
+        for ids, texts in chunks(batches, 1 << 20):
             n = counter.count([t.decode("utf-8", "replace") for t in texts])
             yield record_batch(out, ids, [len(t) for t in texts], n, [x > limit for x in n])
 
-    return text_frame(docs, id_col, text_col).mapInArrow(lean(kernel), schema)
+    return text_frame(docs, id_col, text_col).mapInArrow(lean(kernel, "counter"), schema)

@@ -161,7 +161,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
         made = encoder(tokenizer)
         with system.open_output_stream(name + ".open") as sink:
             writer = TokenWriter(sink, bit_width(max(made.vocabulary, end_id + 1)))
-            for ids, texts in chunks(batches):
+            for ids, texts in chunks(batches, 1 << 20):
                 flat, counts = made.encode([t.decode("utf-8", "replace") for t in texts])
                 flat = np.insert(flat, np.cumsum(counts), end_id)
                 writer.add(ids, flat, counts + 1)
@@ -174,7 +174,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
             system.delete_file(name + ".open")
 
     dealt = text_frame(docs, id_col, text_col).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    return materialize(dealt.mapInArrow(lean(kernel), MANIFEST), "token-manifest")
+    return materialize(dealt.mapInArrow(lean(kernel, "encoder"), MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, id_kind: T.DataType, with_ids: bool = False) -> DataFrame:
@@ -212,7 +212,7 @@ def read_token_files(manifest: DataFrame, id_kind: T.DataType, with_ids: bool =
 
     # One row for each file: the running sum is over as many rows as there are partitions.
     files = manifest.withColumn("base", F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")).select("path", "base")
-    return files.repartition(max(1, manifest.count())).mapInArrow(lean(kernel), schema)
+    return files.repartition(max(1, manifest.count())).mapInArrow(lean(kernel, "encoder"), schema)
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
