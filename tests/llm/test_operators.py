@@ -349,6 +349,24 @@ def test_pii_added_kinds_and_redaction(spark):
     assert out[2] is None and out[1].startswith("mail [EMAIL] or call [PHONE]; iban [IBAN], bad DE88") and "my ssn [SSN] not 123-45-6789 [IP]" in out[1]
 
 
+def test_pii_accounts_beside_capitals_and_digits(spark):
+    de, gb, no, ours = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "ZZ32 0000 1111 2222 33"
+    cases = [
+        (f"{de} Please pay", [de]), ("DE89370400440532013000 Thanks", ["DE89370400440532013000"]), (f"{de} BIC COBADEFF", [de]), (f"{de} 2024-01-01", [de]), (f"{de} A", [de]),
+        (f"{de} {gb} {no} é {de}", [de, gb, no, de]), (f"é😀 AB12 {de} 7", [de]), (f"{no} 12 34 X {ours} OK", [no, ours]), (f"{de}x {de}0", []), ("DE88 3704 0044 0532 0130 00 Please", []),
+    ]
+    turned = ours.replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in turned[4:] + turned[:4])) % 97 == 1
+    frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    spans = {r["doc_id"]: [s.split(":") for s in r["spans"].split(",") if s.startswith("iban")] for r in pii.pii_digests(frame).collect()}
+    out = {r["doc_id"]: r["text"] for r in pii.redact_documents(frame).collect()}
+    for i, (t, found) in enumerate(cases):
+        assert [t[int(a) : int(b)] for _, a, b in spans[i]] == found, t
+        for x in found:
+            t = t.replace(x, "[IBAN]", 1)
+        assert out[i] == t
+
+
 def test_pii_stays_in_sql(docs):
     plan = docs.sparkSession._jvm.PythonSQLUtils.explainString(pii.pii_digests(docs)._jdf.queryExecution(), "simple")
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.replace("Exchange RoundRobin", "")
