@@ -6,7 +6,8 @@ are built where the texts are read and written to the shared folder, so nothing
 shuffled and a lost task rebuilds or rereads its own segments only. A search visits
 every segment with the benchmark's phrases, in blocks of bounded size: the list of a
 phrase's rarest term (in that segment) is shifted by the term's place in the phrase,
-then intersected with the shifted lists of the other terms, rarest first.
+then intersected with the shifted lists of the other terms, rarest first. Unordered
+matches take the same windows, with all words of one within a stretch of bounded length.
 
 Cases: a null or empty text has no words and no hits; an item without words, or with a
 null id, has no windows; repeated documents and items are each reported or united by
@@ -30,6 +31,8 @@ from engramix.llm.common import arrow_schema, chunks, file_system, id_type, kept
 
 #: Benchmark text in one block of phrases; an executor holds two blocks at most.
 BLOCK_BYTES = 16 << 20
+#: Places of rarest terms that are looked at together in a search for unordered matches.
+NEAR_PLACES = 1 << 20
 #: Bytes that separate words; all others, after A-Z are lower-cased, are part of one.
 _APART = bytes(32 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
@@ -124,14 +127,12 @@ class Phrases:
         self.numbers: dict[bytes, int] = _Numbers()
         self.names: list[str] = []
         windows: dict[tuple[int, ...], set[int]] = {}
-        self.whole: list[tuple[int, list[int]]] = []
         names: dict[str, int] = {}
         for name, text in items:
             ids = [self.numbers[w] for w in words(text)]
             if not ids:
                 continue
             k = names.setdefault(name, len(names))
-            self.whole.append((k, ids))
             for i in range(max(1, len(ids) - width + 1)):
                 windows.setdefault(tuple(ids[i : i + width]), set()).add(k)
         self.numbers = dict(self.numbers)
@@ -175,22 +176,58 @@ class Phrases:
             whose, j = _spread(count[which])
             yield n, start, doc, doc[whose], owners[first[which[whose]] + j]
 
-    def near(self, segment: Segment, slop: int) -> Iterator[tuple[int, int]]:
-        """(document, item) for every place of an item's rarest term with all its other terms within ``slop`` words."""
+    def near(self, segment: Segment, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(documents, items) of windows all of whose words stand, in any order, within ``slop`` more consecutive words than the window has."""
         size, begin, keys = segment.postings(self.numbers)
-        for item, ids in self.whole:
-            terms = np.array(sorted(set(ids), key=lambda t: (size[t], t)))
-            if not size[terms].all():
-                continue
-            at = keys[begin[terms[0]] : begin[terms[0]] + size[terms[0]]] & 0xFFFFFFFF
-            for t in terms[1:]:
-                own = keys[begin[t] : begin[t] + size[t]] & 0xFFFFFFFF
-                doc = segment.doc(at)
-                low = np.maximum(at - slop, segment.starts[doc])
-                high = np.minimum(at + slop, segment.starts[doc] + segment.lengths[doc] - 1)
-                at = at[np.searchsorted(own, low) < np.searchsorted(own, high, "right")]
-            for doc in segment.doc(at).tolist():
-                yield doc, item
+        for n, (windows, count, first, owners) in self.by_length.items():
+            frequency = size[windows]
+            live = np.flatnonzero((frequency > 0).all(axis=1))
+            order = np.argsort(frequency[live], axis=1, kind="stable")  # the rarest term first
+            sorted_ = np.take_along_axis(windows[live], order, axis=1)
+            ends = np.cumsum(size[sorted_[:, 0]])
+            at = 0
+            while at < len(live):  # windows with at most NEAR_PLACES places of their rarest terms, one window at least
+                done = ends[at - 1] if at else 0
+                upto = max(at + 1, int(np.searchsorted(ends, done + NEAR_PLACES, "right")))
+                which, doc = self._stretches(segment, size, begin, keys, sorted_[at:upto], n + slop)
+                which = live[at + which]
+                whose, j = _spread(count[which])
+                yield doc[whose], owners[first[which[whose]] + j]
+                at = upto
+
+    @staticmethod
+    def _stretches(segment: Segment, size: np.ndarray, begin: np.ndarray, keys: np.ndarray, terms: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, document), once each, where ``reach`` consecutive words of the document hold all terms of the window."""
+        which, k = _spread(size[terms[:, 0]])
+        place = keys[begin[terms[which, 0]] + k] & 0xFFFFFFFF
+        doc = segment.doc(place)
+
+        def held(which: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, r: int) -> np.ndarray:
+            low = np.maximum(low, segment.starts[doc])
+            high = np.minimum(high, segment.starts[doc] + segment.lengths[doc] - 1)
+            term = terms[which, r] << 32
+            at = np.searchsorted(keys, term | low)
+            return (at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] <= (term | high))
+
+        for r in range(1, terms.shape[1]):
+            keep = held(which, doc, place - reach + 1, place + reach - 1, r)
+            which, place, doc = which[keep], place[keep], doc[keep]
+        found = [np.zeros((2, 0), np.int64)]
+        # Stretches around the place, the most even first; a window is done with a document when one holds it.
+        for back in sorted(range(reach), key=lambda b: abs(2 * b - reach)):
+            if not len(which):
+                break
+            full = np.ones(len(which), bool)
+            for r in range(1, terms.shape[1]):
+                left = np.flatnonzero(full)
+                full[left] = held(which[left], doc[left], place[left] - back, place[left] - back + reach - 1, r)
+            if full.any():
+                new = np.unique(np.stack([which[full], doc[full]]), axis=1)
+                found.append(new)
+                width = len(segment.lengths)
+                keep = ~np.isin(which * width + doc, new[0] * width + new[1])
+                which, place, doc = which[keep], place[keep], doc[keep]
+        return tuple(np.concatenate(found, axis=1))
 
 
 @lru_cache(2)
@@ -259,26 +296,39 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, item_col: str =
     return index.mapInArrow(lean(kernel, "phrases"), schema)
 
 
-def proximity(index: DataFrame, items: DataFrame, slop: int = 20, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, n_matches: places of an item's rarest term that have its other terms within ``slop`` words."""
-    schema = T.StructType([T.StructField("doc_id", index.schema["doc_ids"].dataType.elementType), T.StructField("item_id", T.StringType()), T.StructField("n_matches", T.LongType())])
+def search_near(index: DataFrame, items: DataFrame, slop: int = 20, width: int = 10, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Unordered matches: doc_id, n_words, near (item_id and n_matches, by item_id as a string), one row for each document.
+
+    n_matches counts pairs of an item and one of its distinct windows (``width`` words, or the whole of a
+    shorter item) whose words all stand within ``slop`` more consecutive words of the document than the
+    window has. Every exact match is one, however long the item.
+    """
+    item = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("n_matches", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", index.schema["doc_ids"].dataType.elementType), T.StructField("n_words", T.LongType()), T.StructField("near", T.ArrayType(item))])
     out = arrow_schema(schema)
-    paths = write_phrases(items, 1, item_col, item_text)
+    paths = write_phrases(items, width, item_col, item_text)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, segment in _segments(batches):
-            n: dict[tuple[int, str], int] = {}
+            found: list[dict[str, int]] = [{} for _ in segment.lengths]
             for path in paths:
                 phrases = _phrases(path)
-                for doc, item in phrases.near(segment, slop):
-                    key = doc, phrases.names[item]
-                    n[key] = n.get(key, 0) + 1
-            rows = sorted(n)
-            yield record_batch(out, ids.take(pa.array([d for d, _ in rows], pa.int64())), [name for _, name in rows], [n[r] for r in rows])
+                for doc, k in phrases.near(segment, slop):
+                    pairs, n = np.unique(np.stack([doc, k]), axis=1, return_counts=True)
+                    for (d, i), m in zip(pairs.T.tolist(), n.tolist(), strict=True):
+                        name = phrases.names[i]
+                        found[d][name] = found[d].get(name, 0) + m
+            near = [[{"item_id": name, "n_matches": m} for name, m in sorted(x.items())] for x in found]
+            yield record_batch(out, ids, pa.array(segment.lengths), near)
 
     return index.mapInArrow(lean(kernel, "phrases"), schema)
 
 
+def proximity(index: DataFrame, items: DataFrame, slop: int = 20, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, n_matches of all unordered matches."""
+    return search_near(index, items, slop, item_col=item_col, item_text=item_text).select("doc_id", F.explode("near").alias("x")).select("doc_id", "x.item_id", "x.n_matches")
+
+
 def contamination(docs: DataFrame, items: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Index the documents and search them for the items' windows: one row for each document."""
     return search(build_index(docs, id_col, text_col), items, width).withColumn("contaminated", F.col("n_hit") > 0)

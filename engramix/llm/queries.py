@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engramix.llm import language_id, quality
-from engramix.llm.decontamination import contamination
+from engramix.llm.decontamination import build_index, contamination, search_near
 from engramix.llm.media import media_columns
 from engramix.llm.near_duplicates import near_duplicates
 from engramix.llm.packing import pack_documents
@@ -28,6 +28,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op1_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unordered matches, exact ones among them."""
+    found = search_near(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    ids, n = F.transform("near", lambda x: x["item_id"]), F.aggregate("near", F.lit(0).cast("long"), lambda acc, x: acc + x["n_matches"])
+    return found.select("doc_id", "n_words", n.alias("n_hit"), F.size("near").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n > 0).alias("contaminated"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"))
 
@@ -77,6 +84,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op1_proximity": op1_proximity,
     "op2_media_columns": op2_media_columns,
     "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,

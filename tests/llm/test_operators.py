@@ -225,6 +225,47 @@ def test_contamination_on_the_table(spark):
     assert rows(queries.op1_decontamination(spark, SF)) == sorted(expected, key=repr)
 
 
+def brute_proximity(docs, items, slop=20, width=10):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    windows = defaultdict(set)
+    for item, text in items:
+        w = word.findall((text or "").translate(lower))
+        for i in range(max(1, len(w) - width + 1) if w else 0):
+            windows[tuple(w[i : i + width])].add(str(item))
+    for d, t in docs:
+        w, n = word.findall(t.translate(lower)), defaultdict(int)
+        for x, owners in windows.items():
+            if set(x) <= set(w) and any(set(x) <= set(w[i : i + len(x) + slop]) for i, own in enumerate(w) if own in x):
+                for o in owners:
+                    n[o] += 1
+        yield d, n
+
+
+def test_proximity_of_whole_items(spark, monkeypatch):
+    b = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text")
+    items = [(r["item_id"], r["text"]) for r in b.collect()]
+    texts = [t for _, t in items if len(set(t.split())) > 41]
+    assert texts
+    shuffled = [" ".join(" ".join(rnd.sample(w, len(w))) for w in (x[i : i + 10] for i in range(0, len(x), 10))) for x in (t.split() for t in texts[:8])]
+    apart = [" ".join(f"{w} gap{i} gap{i + 1}" for i, w in enumerate(t.split())) for t in texts[:8]]
+    far = [" ".join(f"{w} " + "gap " * 4 for w in t.split()) for t in texts[:4]]
+    rows_ = list(enumerate([*(t for _, t in items), *shuffled, *apart, *far, "", None]))
+    frame = spark.createDataFrame(rows_, "doc_id long, text string").repartition(3)
+    for slop, places in ((20, 1 << 20), (3, 50)):
+        monkeypatch.setattr(decontamination, "NEAR_PLACES", places)
+        expected = sorted(((d, i, n) for d, found in brute_proximity([(d, t or "") for d, t in rows_], items, slop) for i, n in found.items()), key=repr)
+        got = rows(decontamination.proximity(decontamination.build_index(frame), b, slop))
+        assert got == expected
+        assert {(d, str(i)) for d, (i, _) in enumerate(items)} <= {x[:2] for x in got}
+
+
+def test_proximity_query(spark):
+    near = {r["doc_id"]: r for r in queries.op1_proximity(spark, SF).collect()}
+    exact = queries.op1_decontamination(spark, SF).collect()
+    assert len(near) == len(exact) and all(near[r["doc_id"]]["n_items"] >= r["n_items"] for r in exact)
+
+
 def brute_near(docs, width, percent=80):
     word = re.compile(r"[^\x20\x09-\x0D]+")
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
