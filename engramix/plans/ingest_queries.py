@@ -10,7 +10,7 @@ from engramix.functions import numeric as nm
 from engramix.functions import text as tx
 from engramix.operators import memory as me
 from engramix.operators import units as un
-from engramix.plans.registry import Tables, query
+from engramix.plans.registry import ORACLE_SQL, Tables, query
 from engramix.plans.retrieval_queries import words
 
 WS = "[ \\t\\n\\r\\f\\v]"
@@ -61,10 +61,21 @@ def evidence_units(t: Tables) -> DataFrame:
                  list_filter(regexp_extract_all(lower(out), '[A-Za-z0-9'']+'), lambda x: length(x) > 1 AND NOT list_contains({words(tx.UNIT_STOPWORDS)}, x)) AS ow FROM p)
     SELECT doc_id, length(out) <= greatest(2 * length(src) + 120, 240) AND (len(sw) < 4 OR len(list_filter(sw, lambda x: list_contains(ow, x))) / greatest(1, len(sw)) >= 0.45) AS bound FROM k""")
 def source_bound(t: Tables) -> DataFrame:
-    d = t.documents.where("n_chars < 2000").withColumn("out", F.expr("substring(text, 1, cast(round(length(text) * 0.7, 0) as int))"))
+    """Documents of fewer than 2,000 characters."""
+    return bound(t.documents.where("n_chars < 2000"))
+
+
+def bound(docs: DataFrame) -> DataFrame:
+    d = docs.withColumn("out", F.expr("substring(text, 1, cast(round(length(text) * 0.7, 0) as int))"))
     return d.select("doc_id", tx.source_bound(F.col("out"), F.col("text")).alias("bound"))
 
 
+@query(ORACLE_SQL["source_bound"].replace(" WHERE n_chars < 2000", ""))
+def source_bound_whole(t: Tables) -> DataFrame:
+    """All documents, long ones and those of unknown length among them."""
+    return bound(t.documents)
+
+
 @query("SELECT md5(text) AS hash, min(doc_id) AS doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 10 = 0) GROUP BY md5(text)")
 def hash_dedupe(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", F.md5("text").alias("hash"), F.lit("s").alias("scope"), F.col("doc_id").alias("seq"))
