@@ -9,7 +9,7 @@ from engramix.functions import classify as cl
 from engramix.functions import numeric as nm
 from engramix.functions import text as tx
 from engramix.operators import analytics as an
-from engramix.plans.registry import Tables, query
+from engramix.plans.registry import ORACLE_SQL, Tables, query
 from engramix.plans.retrieval_queries import sql_raw, words
 
 LAB = "l AS (SELECT l.doc_id, l.quality, l.toxic, d.lang, d.source, d.n_chars, d.text FROM labels l JOIN documents d USING (doc_id))"
@@ -54,8 +54,20 @@ def nugget_scores(t: Tables) -> DataFrame:
     n AS (SELECT user_id, count(*) AS n FROM r GROUP BY user_id)
     SELECT n.user_id AS question_id, n, round(coalesce(CASE WHEN (c + d + tp) * (c + d + tr) > 0 THEN (c - d) / sqrt((c + d + tp) * (c + d + tr)) END, 0.0), 6) AS tau FROM n LEFT JOIN s ON s.user_id = n.user_id""")
 def kendall_tau(t: Tables) -> DataFrame:
+    """The first eight events of each user."""
+    return orders(t, 8)
+
+
+@query(ORACLE_SQL["kendall_tau"].replace(" QUALIFY p <= 8", ""))
+def kendall_tau_whole(t: Tables) -> DataFrame:
+    """All events of each user."""
+    return orders(t)
+
+
+def orders(t: Tables, most: int | None = None) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = t.events.withColumn("p", F.row_number().over(w)).where("p <= 8")
+    e = t.events.withColumn("p", F.row_number().over(w))
+    e = e.where(F.col("p") <= most) if most else e
     r = e.withColumn("r", F.rank().over(Window.partitionBy("user_id").orderBy(F.round(F.col("value") / 20))))
     a = r.select(F.col("user_id").alias("question_id"), F.col("event_id").alias("item"), F.col("p").cast("long").alias("position"))
     b = r.select(F.col("user_id").alias("question_id"), F.col("event_id").alias("item"), F.col("r").cast("long").alias("position"))

@@ -1,7 +1,11 @@
 """The queries over whole tables: nothing is left out that their namesakes with bounded SQL leave out."""
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from engramix.operators import analytics as an
 from engramix.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +23,23 @@ def test_source_bound_has_all_documents(spark):
     docs = table(spark, "documents")
     assert docs.where("coalesce(n_chars, 2000) >= 2000").count() > 0
     assert sorted(r["doc_id"] for r in run(spark, "source_bound_whole").collect()) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+
+
+def brute_tau(p, r):
+    sign = lambda a, b: (a > b) - (a < b)
+    s = [(sign(p[i], p[j]), sign(r[i], r[j])) for i in range(len(p)) for j in range(i)]
+    num, x, y = sum(a * b for a, b in s), sum(a != 0 for a, _ in s), sum(b != 0 for _, b in s)
+    return num / (x * y) ** 0.5 if x * y else 0.0
+
+
+def test_kendall_ranks_whole_lists(spark):
+    lengths = {r["user_id"]: r["count"] for r in table(spark, "events").groupBy("user_id").count().collect()}
+    assert max(lengths.values()) > 8
+    assert {r["question_id"]: r["n"] for r in run(spark, "kendall_tau_whole").collect()} == lengths
+    rnd = random.Random(5)
+    for n, top in ((0, 1), (1, 1), (2, 1), (7, 3), (64, 5), (65, 1000), (200, 30)):
+        p, r = ([rnd.randint(-top, top) for _ in range(n)] for _ in "pr")
+        assert abs(an.tau_b(np.array(p, "int64"), np.array(r, "int64")) - brute_tau(p, r)) < 1e-12
+    n = 60_000  # pairs of such a list could not be joined
+    rows = spark.range(n).select(F.lit("q").alias("question_id"), F.col("id").alias("item"), F.col("id").alias("position"))
+    assert [tuple(x) for x in an.kendall_tau(rows, rows.withColumn("position", -F.col("position"))).collect()] == [("q", n, -1.0)]
