@@ -10,7 +10,7 @@ from engramix.functions import numeric as nm
 from engramix.functions import text as tx
 from engramix.operators import retrieval as rt
 from engramix.operators.filters import compile_filter
-from engramix.plans.registry import Tables, query
+from engramix.plans.registry import ORACLE_SQL, Tables, query
 
 
 def words(values: list[str]) -> str:
@@ -110,6 +110,12 @@ def bm25_scores(t: Tables) -> DataFrame:
     return rt.bm25(doc_memories(t), items(t).where("query_id % 10 = 0")).withColumn("bm25", F.round("bm25", 5))
 
 
+@query(ORACLE_SQL["bm25_scores"].replace(" WHERE query_id % 10 = 0", ""))
+def bm25_scores_whole(t: Tables) -> DataFrame:
+    """All scores of all queries."""
+    return rt.bm25(doc_memories(t), items(t)).withColumn("bm25", F.round("bm25", 5))
+
+
 @query(f"""WITH {SEMANTIC},
     parts AS (SELECT query_id, id, score AS semantic, 1 / (1 + exp(-0.1 * (raw - 20))) AS bm25, CAST(CASE WHEN id % 7 = 0 THEN 0.3 ELSE 0.0 END AS DOUBLE) AS boost FROM scored WHERE score >= 0.1),
     f AS (SELECT *, round(least(1.0, (semantic + bm25 + boost) / (1 + CASE WHEN bm25 > 0 THEN 1 ELSE 0 END + CASE WHEN boost > 0 THEN 0.5 ELSE 0 END)), 8) AS score FROM parts)

@@ -43,3 +43,12 @@ def test_kendall_ranks_whole_lists(spark):
     n = 60_000  # pairs of such a list could not be joined
     rows = spark.range(n).select(F.lit("q").alias("question_id"), F.col("id").alias("item"), F.col("id").alias("position"))
     assert [tuple(x) for x in an.kendall_tau(rows, rows.withColumn("position", -F.col("position"))).collect()] == [("q", n, -1.0)]
+
+
+def test_starts_and_scores_of_all_rows(spark):
+    day = F.date_format("ts", "yyyy-MM-dd")
+    e = table(spark, "events").select(day.alias("scope"), F.concat(F.lit("u"), "user_id").alias("head"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("tail"))
+    ends = e.select("scope", "head").union(e.select("scope", "tail")).dropna().distinct()
+    assert {tuple(r) for r in run(spark, "start_resolution_whole").select("scope", "name").collect()} == {tuple(r) for r in ends.collect()}
+    scored = {r["query_id"] for r in run(spark, "bm25_scores_whole").select("query_id").distinct().collect()}
+    assert scored == {r["query_id"] for r in run(spark, "bm25_topk").collect()} and any(q % 10 for q in scored)
