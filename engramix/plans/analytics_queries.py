@@ -91,12 +91,12 @@ def similarity_histogram(t: Tables) -> DataFrame:
     return an.histogram(t.events.select("event_type", ((F.col("event_id") % 1000) / 999.0).alias("s")), "s", "event_type").withColumn("density", F.round("density", 6))
 
 
-def evidence(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+def evidence(t: Tables, most: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(questions, evidence, results): an item is a question and its own evidence; documents that share its rarer words are results."""
     from engramix.plans.retrieval_queries import doc_memories, items
     from engramix.operators import retrieval as rt
 
-    top = rt.bm25_topk(doc_memories(t), items(t), 50)
+    top = rt.bm25_topk(doc_memories(t), items(t), most)
     results = top.join(doc_memories(t), "id").select(F.col("query_id").alias("question_id"), F.col("rank"), "text", "score")
     questions = t.benchmark.select(F.col("item_id").alias("question_id"), (F.col("item_id") % 4).cast("string").alias("category"))
     return questions, t.benchmark.select(F.col("item_id").alias("question_id"), F.lit("e0").alias("evidence_id"), "text"), results
@@ -118,11 +118,29 @@ def evidence_rank(t: Tables) -> DataFrame:
     return an.best_match(e, r)
 
 
+@query(ORACLE_SQL["evidence_rank"].replace("QUALIFY rank <= 50)", "QUALIFY rank <= 200)"))
+def evidence_rank_whole(t: Tables) -> DataFrame:
+    """Among as many results as the largest cutoff."""
+    _, e, r = evidence(t, max(an.CUTOFFS))
+    return an.best_match(e, r)
+
+
 @query(f"""WITH {_ev()}, qq AS (SELECT question_id, CAST(question_id % 4 AS VARCHAR) AS category, k, CASE WHEN rank <= k THEN 1 ELSE 0 END AS h FROM rk, (VALUES (10), (20), (50), (200)) c(k))
     SELECT k, coalesce(category, 'all') AS category, count(*) AS question_total, CAST(sum(h) AS BIGINT) AS question_hits, count(*) AS evidence_total, CAST(sum(h) AS BIGINT) AS evidence_hits, round(sum(h) / count(*), 6) AS question_recall, round(sum(h) / count(*), 6) AS evidence_recall
     FROM qq GROUP BY GROUPING SETS ((k, category), (k))""")
 def recall_at_k(t: Tables) -> DataFrame:
-    q, e, r = evidence(t)
+    """Of the first 50 results: the largest cutoff repeats the one before."""
+    return recalls(t, 50)
+
+
+@query(ORACLE_SQL["recall_at_k"].replace("QUALIFY rank <= 50)", "QUALIFY rank <= 200)"))
+def recall_at_k_whole(t: Tables) -> DataFrame:
+    """Of as many results as the largest cutoff."""
+    return recalls(t, max(an.CUTOFFS))
+
+
+def recalls(t: Tables, most: int) -> DataFrame:
+    q, e, r = evidence(t, most)
     out = an.recall_at_k(an.best_match(e, r), q)
     return out.select("k", F.coalesce("category", F.lit("all")).alias("category"), "question_total", "question_hits", "evidence_total", "evidence_hits", F.round("question_recall", 6).alias("question_recall"), F.round("evidence_recall", 6).alias("evidence_recall"))
 

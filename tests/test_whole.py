@@ -52,3 +52,16 @@ def test_starts_and_scores_of_all_rows(spark):
     assert {tuple(r) for r in run(spark, "start_resolution_whole").select("scope", "name").collect()} == {tuple(r) for r in ends.collect()}
     scored = {r["query_id"] for r in run(spark, "bm25_scores_whole").select("query_id").distinct().collect()}
     assert scored == {r["query_id"] for r in run(spark, "bm25_topk").collect()} and any(q % 10 for q in scored)
+
+
+def test_evidence_is_met_up_to_the_largest_cutoff(spark, tmp_path):
+    # One rare word makes 120 short documents outrank the one that holds the whole evidence.
+    words = [f"word{i}" for i in range(12)]
+    docs = [(i, "zebra") for i in range(120)] + [(500, " ".join(["zebra", *words]) + " filler" * 2000)]
+    docs += [(2000 + i, f"other{i}") for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(["zebra", *words]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ranks = catalogue.QUERIES["evidence_rank_whole"](spark, str(tmp_path)).collect()
+    assert [(r["question_id"], r["rank"] is not None and 50 < r["rank"] <= 200) for r in ranks] == [(1, True)], ranks
+    hits = {r["k"]: r["evidence_hits"] for r in catalogue.QUERIES["recall_at_k_whole"](spark, str(tmp_path)).where("category = 'all'").collect()}
+    assert hits == {10: 0, 20: 0, 50: 0, 200: 1}
