@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramix.functions import classify as cl
@@ -299,8 +299,19 @@ def context_dedupe(t: Tables) -> DataFrame:
     u AS (SELECT *, sum(length(line) // 3) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM l)
     SELECT query_id, md5(string_agg(line, chr(10) ORDER BY rank)) AS context_md5 FROM u WHERE used <= 2000 GROUP BY query_id""")
 def context_budget(t: Tables) -> DataFrame:
+    """The first 400 characters of each memory."""
+    return budgeted(t, F.substring("text", 1, 400))
+
+
+@query(ORACLE_SQL["context_budget"].replace("substr(text, 1, 400)", "text"))
+def context_budget_whole(t: Tables) -> DataFrame:
+    """Whole memories: the token budget is the only limit."""
+    return budgeted(t, F.col("text"))
+
+
+def budgeted(t: Tables, memory: Column) -> DataFrame:
     top = rt.ranked(semantic(t).select("query_id", "id", "score", "text"), 30)
-    rows = top.select("query_id", F.col("rank"), F.col("id").cast("string").alias("id"), F.lit("2023-01-01").alias("created_at"), F.array().cast("array<struct<name:string,attention_weight:double,entity_type:string>>").alias("entities"), F.substring("text", 1, 400).alias("memory"))
+    rows = top.select("query_id", F.col("rank"), F.col("id").cast("string").alias("id"), F.lit("2023-01-01").alias("created_at"), F.array().cast("array<struct<name:string,attention_weight:double,entity_type:string>>").alias("entities"), memory.alias("memory"))
     return rt.context_lines(rows).select("query_id", F.md5("context").alias("context_md5"))
 
 

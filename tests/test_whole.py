@@ -1,5 +1,6 @@
 """The queries over whole tables: nothing is left out that their namesakes with bounded SQL leave out."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -65,3 +66,12 @@ def test_evidence_is_met_up_to_the_largest_cutoff(spark, tmp_path):
     assert [(r["question_id"], r["rank"] is not None and 50 < r["rank"] <= 200) for r in ranks] == [(1, True)], ranks
     hits = {r["k"]: r["evidence_hits"] for r in catalogue.QUERIES["recall_at_k_whole"](spark, str(tmp_path)).where("category = 'all'").collect()}
     assert hits == {10: 0, 20: 0, 50: 0, 200: 1}
+
+
+def test_context_holds_whole_memories(spark, tmp_path):
+    long, short = "apple pear plum " + "filler " * 300, "apple pear"
+    spark.createDataFrame([(1, long), (2, short), (3, "nothing here")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "apple pear plum")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = catalogue.QUERIES["context_budget_whole"](spark, str(tmp_path)).collect()
+    lines = [f"{i}. [{d}] [2023-01-01] [] {t}" for i, (d, t) in enumerate([(1, long), (2, short)], 1)]
+    assert [r["context_md5"] for r in found] == [hashlib.md5("\n".join(lines).encode()).hexdigest()]
