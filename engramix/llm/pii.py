@@ -10,7 +10,7 @@ reaches is not known to a pattern: it matches the first four characters only and
 ahead, and the checksum chooses among all ends that are followed by no letter or digit.
 
 Kinds of the base set: email, ip, card (Luhn), phone. Added: iban (mod 97) and ssn,
-which is kept only with a context word before it.
+which is kept only with a context word before it or before the list it stands in.
 
 Cases: null and empty texts have no spans; repeated rows give repeated rows; an empty
 table gives an empty result; only the id and the text are read.
@@ -24,8 +24,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Characters before a match in which context words count.
+#: Characters before a match in which context words count, back to the match before at most.
 CONTEXT = 40
+#: Text between the numbers of a list, all of which have the context of the first.
+LISTED = r"^\s*(?:[,;/|&]\s*)?(?:(?:and|or)\s+)?$"
 SPAN = "array<struct<start:int,no:int,end:int,kind:string,score:double>>"
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -113,16 +115,16 @@ def _spans(text: Column, matches: Column, no: int, kind: Kind) -> Column:
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["before"])
         end = start + F.coalesce(F.length(x["m"]), F.lit(0))
-        near = F.lower(F.right(x["before"], F.lit(CONTEXT))).rlike(kind.context)
+        near = F.lower(F.right(x["before"], F.lit(CONTEXT))).rlike(kind.context) | (acc["near"] & x["before"].rlike(LISTED))
         score = F.least(F.lit(1.0), F.lit(kind.start) + F.when(near, 0.2).otherwise(0.0))
         span = F.array(F.struct(start.alias("start"), F.lit(no).alias("no"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score")))
         keep = x["m"].isNotNull() & kind.valid(x["m"]) & (start >= acc["free"])
         if kind.least:
             keep = keep & (score >= kind.least)
         at = start + F.lit(kind.head) if kind.head else end
-        return F.struct(at.alias("at"), F.when(keep, end).otherwise(acc["free"]).alias("free"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.struct(at.alias("at"), near.alias("near"), F.when(keep, end).otherwise(acc["free"]).alias("free"), F.when(keep, F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(SPAN).alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("near"), F.lit(0).alias("free"), F.array().cast(SPAN).alias("out"))
     return F.when(F.size(matches) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
@@ -166,16 +168,13 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _replaced(text: Column, matches: Column, kind: Kind) -> Column:
-    if kind.head:
+    if kind.head or kind.least:
         spans, name = _spans(text, matches, 0, kind), f"[{kind.name.upper()}]"
         zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
         cut = F.aggregate(spans, zero, lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(name)).alias("out")), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
         return F.when(F.size(matches) > 0, cut).otherwise(text)
 
     def piece(before: Column, m: Column) -> Column:
-        valid = kind.valid(m)
-        if kind.least:
-            valid = valid & F.lower(F.right(before, F.lit(CONTEXT))).rlike(kind.context)
-        return F.concat(before, F.when(m.isNull(), "").when(valid, f"[{kind.name.upper()}]").otherwise(m))
+        return F.concat(before, F.when(m.isNull(), "").when(kind.valid(m), f"[{kind.name.upper()}]").otherwise(m))
 
     return F.when(F.size(matches) > 0, F.array_join(F.zip_with(F.split(text, kind.pattern, -1), matches, piece), "")).otherwise(text)

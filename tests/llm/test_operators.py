@@ -408,6 +408,16 @@ def test_pii_accounts_beside_capitals_and_digits(spark):
         assert out[i] == t
 
 
+def test_pii_lists_of_numbers(spark):
+    cases = {
+        "SSN: 123-45-6789, 234-56-7890": "SSN: [SSN], [SSN]", "ssn 123-45-6789; 234-56-7890 and 345-67-8901.": "ssn [SSN]; [SSN] and [SSN].", "ssn 000-45-6789, or 234-56-7890": "ssn 000-45-6789, or [SSN]",
+        "ssn 123-45-6789 order 234-56-7890, 345-67-8901": "ssn [SSN] order 234-56-7890, 345-67-8901", "123-45-6789, 234-56-7890": "123-45-6789, 234-56-7890",
+    }
+    frame = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    assert [r["text"] for r in pii.redact_documents(frame).orderBy("doc_id").collect()] == list(cases.values())
+    assert [r["spans"].count("ssn") for r in pii.pii_digests(frame).orderBy("doc_id").collect()] == [x.count("[SSN]") for x in cases.values()]
+
+
 def test_pii_stays_in_sql(docs):
     plan = docs.sparkSession._jvm.PythonSQLUtils.explainString(pii.pii_digests(docs)._jdf.queryExecution(), "simple")
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan.replace("Exchange RoundRobin", "")
