@@ -24,8 +24,10 @@ CACHE_ENTRIES, CACHE_CHARS = 400_000, 8 << 20
 
 #: A place between a letter and a symbol other than an apostrophe: the tokenizer splits there too.
 _EDGE = re.compile(r"(?<=[^\W\d_])(?=[^\w\s'])")
+#: White space among the first 256 characters, as the tokenizer knows it: U+001C to U+001F, which Python counts, are symbols.
+_SPACE = "\t\n\v\f\r \x85\xa0"
 #: Which of the first 256 characters are neither letters, digits nor space.
-_SYMBOL = np.array([not (chr(c).isalnum() or chr(c).isspace()) for c in range(256)])
+_SYMBOL = np.array([not (chr(c).isalnum() or chr(c) in _SPACE) for c in range(256)])
 #: Chunks that are a single word for the tokenizer, whatever stands around them.
 _WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
 

@@ -26,7 +26,7 @@ PIECE = public_tokenizers.path("piece_bpe_32k.model")
 rnd = random.Random(3)
 COMMON = "the of and in to with a is that for was on are by it as he be from at one have this".split()
 LONG = " ".join(rnd.choice(COMMON) + str(rnd.randint(0, 50)) for _ in range(9000))
-AWKWARD = [None, "", " ", "\n\n", "a", "one two three", "é́x İstanbul ß 日本語 テキスト 😀", "<|endoftext|> <s> </s> <0x41>", "x" * 700, "  two  spaces\tand tabs\x00", LONG, LONG, "don't 's 't they're", "1 2 3 4 5 6 7 8 9 10 11 12", "▁mark ▁"]
+AWKWARD = [None, "", " ", "\n\n", "a", "one two three", "é́x İstanbul ß 日本語 テキスト 😀", "<|endoftext|> <s> </s> <0x41>", "x" * 700, "  two  spaces\tand tabs\x00", LONG, LONG, "don't 's 't they're", "1 2 3 4 5 6 7 8 9 10 11 12", "▁mark ▁", "\x1c?e a\x1c, x\x1f! a\x1d;b \x1e."]
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +72,31 @@ def test_chunk_encoder_matches_whole_texts():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == expected
 
 
+def same_ids(own, texts):
+    for i in range(0, len(texts), 20_000):
+        part = texts[i : i + 20_000]
+        ids, counts = own.encode(part)
+        got = np.split(ids, np.cumsum(counts)[:-1])
+        for t, x, e in zip(part, got, own.library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert x.tolist() == e.ids, repr(t)
+
+
+def test_chunk_encoder_on_all_pairs_of_the_first_256_characters():
+    own = ChunkEncoder(WORD)
+    pairs = [chr(i) + chr(j) for i in range(256) for j in range(256)]
+    same_ids(own, pairs)
+    same_ids(own, ["e" + p + "S" for p in pairs])
+    same_ids(own, [p + "x " + p[::-1] + "'s" for p in pairs[::7]])
+    controls = "\x00\x1b\x1c\x1d\x1e\x1f\x7f\x85\xa0\xad"
+    same_ids(own, [a + b + c for a in controls + "a1. " for b in controls + "a1.,'?" for c in controls + "a1.;"])
+
+
+def test_chunk_encoder_on_random_texts():
+    draw = random.Random(17)
+    latin, more = [chr(i) for i in range(256)], list("aeTs .,'!?-_1\x1c\x1f\n日é́²ß<|Σσ")
+    same_ids(ChunkEncoder(WORD), ["".join(draw.choices(latin if draw.random() < 0.5 else more, k=draw.randint(0, 24))) for _ in range(50_000)])
+
+
 def test_token_files(docs, empty):
     library = Tokenizer.from_file(WORD)
     ids = {}
