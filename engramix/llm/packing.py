@@ -7,7 +7,9 @@ generation: the simplex multipliers price new patterns with a knapsack dynamic
 program. The rounded patterns are then assigned to documents by their rank within
 the class. The histogram has at most ``length / unit`` entries whatever the size of
 the corpus, so the program runs on the driver; ranks, assignment and offsets are
-computed on the executors.
+computed on the executors. Every pattern is a priced column: the
+first ones by the multipliers of a program without padding, the others by the
+program's own.
 
 Cases: null and empty texts give one piece that holds the end id; repeated rows are
 packed each; null ids are kept; an empty table gives no rows; columns other than the
@@ -17,7 +19,6 @@ id and the text are not read.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,11 @@ from pyspark.sql import types as T
 from engramix.llm.common import arrow_schema, chunks, id_type, lean, materialize, record_batch, text_frame
 from engramix.llm.encoding import encoder
 
-#: Stop when the program is this near to its lower bound, or after so many patterns.
-GAP, MOST_PATTERNS = 1e-3, 3000
+#: A program is solved when no better one could save a sequence, or is within this share of its lower bound. Patterns that
+#: enter for each class at most: a guard against cycling, after which the packing is still whole, only less tight.
+GAP, MOST_PIVOTS = 1e-4, 10
+#: Patterns of one pricing, and what a pattern must be worth beyond a sequence.
+BATCH, EPSILON = 64, 1e-7
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,66 +62,164 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int, id_col: st
     return text_frame(docs, id_col, text_col).mapInArrow(lean(kernel, "encoder"), schema)
 
 
-def price(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, np.ndarray]:
-    """The most valuable pattern: unbounded knapsack by dynamic programming. Sizes ascend."""
+def price(sizes: np.ndarray, worth: np.ndarray, room: int) -> tuple[float, list[np.ndarray]]:
+    """The value of the most valuable pattern, and the patterns worth more than a sequence: the best with each size in it, best first, at most ``BATCH``.
+
+    Unbounded knapsack by dynamic programming over the room. Sizes ascend. A pattern has a number of a size for each item.
+    """
     best = np.zeros(room + 1)
     choice = np.full(room + 1, -1)
+    counts = np.searchsorted(sizes, np.arange(room + 1), "right").tolist()
     for w in range(int(sizes[0]), room + 1):
-        k = int(np.searchsorted(sizes, w, "right"))
+        k = counts[w]
         values = best[w - sizes[:k]] + worth[:k]
         i = int(values.argmax())
         if values[i] > best[w - 1]:
             best[w], choice[w] = values[i], i
         else:
             best[w] = best[w - 1]
-    pattern = np.zeros(len(sizes), np.int64)
-    w = room
-    while w > 0:
-        if choice[w] < 0:
-            w -= 1
-        else:
-            pattern[choice[w]] += 1
-            w -= int(sizes[choice[w]])
-    return float(best[room]), pattern
+    with_each = best[room - sizes] + worth
+    found = []
+    for i in np.argsort(-with_each, kind="stable")[:BATCH].tolist():
+        if with_each[i] <= 1 + EPSILON:
+            break
+        items, w = [i], room - int(sizes[i])
+        while w > 0:
+            if choice[w] < 0:
+                w -= 1
+            else:
+                items.append(int(choice[w]))
+                w -= int(sizes[choice[w]])
+        found.append(np.array(items))
+    return float(best[room]), found
 
 
-def _start(sizes: np.ndarray, demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
-    """A first basis and its solution: for each size, largest first, a pattern of it and of smaller sizes that suffice for all its times.
+def price_even(sizes: list[int], caps: list[int], room: int) -> dict[int, int]:
+    """The most valuable pattern (number of a size -> times) if a size is worth its share of a sequence, with at most ``caps`` of each.
 
-    The matrix is triangular, so it has an inverse, and the solution is that of filling sequences largest first.
+    The same dynamic program for the multipliers of a program without padding: the value of a pattern is what it
+    fills, so the states are the bits of a number. Of the best patterns it is that with the largest sizes.
     """
-    m, size, left = len(sizes), sizes.tolist(), demand.tolist()
-    columns, x = np.zeros((m, m)), np.zeros(m)
-    for i in range(m - 1, -1, -1):
-        own = room // size[i]
-        columns[i, i] = own
-        times = x[i] = left[i] / own
-        space, j = room - own * size[i], i - 1
-        while times > 0 and j >= 0 and space >= size[0]:
-            j = min(j, bisect_right(size, space) - 1)
-            n = int(min(space // size[j], left[j] // times))
-            if n:
-                columns[j, i] = n
-                left[j] -= n * times
-                space -= n * size[j]
-            j -= 1
-    return columns, x
-
-
-def _inverse(upper: np.ndarray) -> np.ndarray:
-    """Inverse of a sparse upper triangular matrix, row by row from the last.
-
-    Sums of rows, no matrix product: a driver's threaded linear algebra can wait for
-    threads that a fork has ended.
+    reach, steps, all_ = 1, [], (1 << room + 1) - 1
+    for i, size in enumerate(sizes):
+        left, n = min(caps[i], room // size), 1
+        while left > 0:
+            n = min(n, left)
+            steps.append((i, n, reach))
+            reach |= reach << n * size & all_
+            left -= n
+            n *= 2
+    at = reach.bit_length() - 1
+    pattern: dict[int, int] = {}
+    for i, n, before in reversed(steps):
+        if (taken := at - n * sizes[i]) >= 0 and before >> taken & 1:
+            pattern[i] = pattern.get(i, 0) + n
+            at = taken
+    return pattern
+
+
+class Program:
+    """The linear program over patterns: a basis, its solution, and a lower bound.
+
+    The first columns are priced by the multipliers of a program without padding, on what is left of the demand: each
+    takes as much as it can and so ends a size, which makes the basis triangular. ``solve`` then prices with the
+    program's own multipliers until no better solution could save a sequence.
     """
-    m = len(upper)
-    out = np.zeros((m, m))
-    for i in range(m - 1, -1, -1):
-        out[i, i] = 1
-        for j in (i + 1 + np.flatnonzero(upper[i, i + 1 :])).tolist():
-            out[i] -= upper[i, j] * out[j]
-        out[i] /= upper[i, i]
-    return out
+
+    def __init__(self, sizes: np.ndarray, demand: np.ndarray, room: int):
+        m = len(sizes)
+        self.sizes, self.demand, self.room = sizes, demand, room
+        self.columns, self.x = np.zeros((m, m), np.int64), np.zeros(m)
+        self.bound = float((demand * sizes).sum()) / room
+        self.entered = self.priced = 0
+        self.order: list[int] = []  # sizes as they end
+        left = {i: float(d) for i, d in enumerate(demand.tolist())}
+        while left:
+            own = list(left)
+            found = price_even([int(sizes[i]) for i in own], [-int(-left[i] // 1) for i in own], room)
+            pattern = {own[i]: n for i, n in found.items()}
+            ended = min(pattern, key=lambda i: left[i] / pattern[i])
+            times = left[ended] / pattern[ended]
+            for i, n in pattern.items():
+                self.columns[i, ended] = n
+                left[i] -= n * times
+            self.x[ended] = times
+            self.order.append(ended)
+            self.priced += 1
+            for i in [i for i in pattern if i == ended or left[i] < 1e-9]:
+                if i != ended:  # ended by the same pattern: one more column, of no use at first
+                    self.columns[i, i] = room // int(sizes[i])
+                    self.order.append(i)
+                del left[i]
+
+    def total(self) -> float:
+        return float(self.x.sum())
+
+    def closed(self) -> bool:
+        """Whether the solution is so near to the bound that a better one would not count."""
+        return -(-(self.total() - 1e-6) // 1) <= -(-(self.bound - 1e-6) // 1) or self.total() <= self.bound * (1 + GAP)
+
+    def _invert(self) -> np.ndarray:
+        """Inverse of the first basis, row by row in the order in which sizes end.
+
+        Sums of rows, no matrix product: a driver's threaded linear algebra can wait for threads that a fork has ended.
+        """
+        out, done = np.zeros(self.columns.shape), []
+        for i in self.order:
+            row = np.zeros(len(out))
+            row[i] = 1
+            for j in (j for j in done if self.columns[i, j]):
+                row -= self.columns[i, j] * out[j]
+            out[i] = row / self.columns[i, i]
+            done.append(i)
+        return out
+
+    def enter(self, column: np.ndarray) -> bool:
+        """Pivot a column (a count for each size) into the basis."""
+        some = np.flatnonzero(column)
+        step = (self.inverse[:, some] * column[some]).sum(axis=1)
+        rows = np.flatnonzero(step > 1e-9)
+        if not len(rows):
+            return False
+        ratios = self.x[rows] / step[rows]
+        out = int(rows[ratios.argmin()])
+        theta = max(0.0, float(ratios.min()))
+        self.x -= theta * step
+        np.maximum(self.x, 0, out=self.x)
+        self.x[out] = theta
+        row = self.inverse[out] / step[out]
+        at, where = np.flatnonzero(np.abs(step) > 1e-12), np.flatnonzero(row)
+        self.inverse[np.ix_(at, where)] -= step[at][:, None] * row[where]
+        self.inverse[out] = row
+        self.columns[:, out] = column
+        self.entered += 1
+        return True
+
+    def solve(self) -> None:
+        """Price and enter columns until the bound is met, or no pattern is worth more than a sequence."""
+        m = len(self.sizes)
+        if self.closed():
+            return
+        self.inverse = self._invert()
+        while not self.closed() and self.entered < MOST_PIVOTS * m:
+            duals = self.inverse.sum(axis=0)
+            value, found = price(self.sizes, np.maximum(duals, 0), self.room)
+            self.priced += 1
+            self.bound = max(self.bound, self.total() / max(value, 1))
+            if not found or self.closed():
+                return
+            pool = np.zeros((len(found), m), np.int64)
+            for k, items in enumerate(found):
+                np.add.at(pool[k], items, 1)
+            before = self.entered
+            while len(pool):  # the best of the pool under the multipliers of the moment
+                worth = (pool * self.inverse.sum(axis=0)).sum(axis=1)
+                k = int(worth.argmax())
+                if worth[k] <= 1 + EPSILON or not self.enter(pool[k]):
+                    break
+                pool = np.delete(pool, k, axis=0)
+            if self.entered == before:
+                return
 
 
 def patterns(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int], int]]:
@@ -125,44 +227,31 @@ def patterns(histogram: dict[int, int], room: int) -> list[tuple[dict[int, int],
     sizes = np.array(sorted(s for s, n in histogram.items() if n), np.int64)
     if not len(sizes):
         return []
-    demand = np.array([histogram[int(s)] for s in sizes], float)
-    m = len(sizes)
-    columns, x = _start(sizes, demand, room)
-    inverse = _inverse(columns)
-    area = float((demand * sizes).sum()) / room
-    bound = area
-    for _ in range(MOST_PATTERNS):
-        duals = inverse.sum(axis=0)
-        value, new = price(sizes, np.maximum(duals, 0), room)
-        total = x.sum()
-        bound = max(bound, total / max(value, 1))
-        if value <= 1 + 1e-9 or total <= bound * (1 + GAP):
-            break
-        some = np.flatnonzero(new)
-        step = (inverse[:, some] * new[some]).sum(axis=1)
-        enters = step > 1e-9
-        if not enters.any():
-            break
-        ratios = np.full(m, np.inf)
-        ratios[enters] = x[enters] / step[enters]
-        out = int(ratios.argmin())
-        theta = ratios[out]
-        x -= theta * step
-        x[out] = theta
-        np.maximum(x, 0, out=x)
-        row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
-        inverse[out] = row
-        columns[:, out] = new
-    times = np.floor(x + 1e-9).astype(np.int64)
-    left = demand.astype(np.int64) - (columns.astype(np.int64) * times).sum(axis=1)
-    made: list[tuple[dict[int, int], int]] = []
-    for k in np.flatnonzero(times):
-        made.append(({int(sizes[i]): int(columns[i, k]) for i in np.flatnonzero(columns[:, k])}, int(times[k])))
-    # What rounding leaves is a few items for each class: best fit, largest first.
-    left = np.maximum(left, 0)
+    program = Program(sizes, np.array([histogram[int(s)] for s in sizes], float), room)
+    program.solve()
+    return rounded(program)
+
+
+def rounded(program: Program) -> list[tuple[dict[int, int], int]]:
+    """Whole times of the program's patterns: rounded down, then, largest fraction first, once more where the items are left."""
+    sizes, columns = program.sizes, program.columns
+    times = np.floor(program.x + 1e-9).astype(np.int64)
+    left = program.demand.astype(np.int64) - (columns * times).sum(axis=1)
+    for k in np.flatnonzero(left < 0).tolist():  # by rounding errors only
+        for j in np.flatnonzero((columns[k] > 0) & (times > 0)).tolist():
+            while left[k] < 0 and times[j] > 0:
+                times[j] -= 1
+                left += columns[:, j]
+    for k in np.argsort(times - program.x, kind="stable").tolist():
+        some = np.flatnonzero(columns[:, k])
+        n = int((left[some] // columns[some, k]).min())
+        if program.x[k] > 1e-9 and n > 0:
+            times[k] += 1
+            left[some] -= columns[some, k]
+    made = [({int(sizes[i]): int(columns[i, k]) for i in np.flatnonzero(columns[:, k])}, int(times[k])) for k in np.flatnonzero(times)]
+    # What is left is a few items for each class at most: best fit, largest first.
     while left.any():
-        space, pattern = room, {}
+        space, pattern = program.room, {}
         while True:
             fits = np.flatnonzero((left > 0) & (sizes <= space))
             if not len(fits):
