@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 #: UTF-8 bytes of text that a kernel holds as Python objects at a time.
 CHUNK_BYTES = 4 << 20
+#: Spark's setting for the bytes of an Arrow batch.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,19 +40,47 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     The written table cuts the lineage: a lost executor costs a reread, not a
     recomputation.
     """
-    path = scratch(df.sparkSession, name)
+    small_batches(df.sparkSession)
+    path = f"{folder}/{name}-{uuid.uuid4().hex[:8]}" if folder else scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """The tables of one run in a folder of their own, which goes when the run ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, scratch(spark, name)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name, self.folder)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of a batch that goes to a Python worker, unless the session already has a bound of its own.
+
+    Rows alone are no bound: ten thousand whole texts may be hundreds of megabytes.
+    """
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(CHUNK_BYTES))
+
+
 def text_frame(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text (null: empty) as UTF-8 bytes; other columns cannot clash."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 

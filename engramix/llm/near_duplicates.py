@@ -9,19 +9,30 @@ missed with probability 7e-6, one at 0.85 with 3e-8.
 
 1. Sets and signatures of all documents; documents with equal sets form a class, which
    takes part once.
-2. Classes alone in a bucket of the first collection leave; the others meet in the
-   tables, each bucket naming its smallest member (a star, never all pairs).
-3. Connected components of the stars are clusters: all candidates of a set are in its
-   cluster. Clusters are cut into blocks of bounded size; a task holds two blocks and
-   compares their full sets with a matrix product, and returns a spanning forest of the
-   links it confirms.
-4. Connected components of the confirmed links, by alternating stars, each round
+2. Classes alone in all buckets of the first collection leave; the others are numbered
+   so that those with more company come first, and meet in the tables. The first member
+   of a bucket leads it.
+3. Every class is compared with the first of its leaders, on full sets. In a group of
+   near copies that is their common origin, so the group is joined by as many
+   comparisons as it has members.
+4. A bucket whose members are in one component by then, or were all compared with each
+   other, is settled. Members of the others, with all that share an unsettled bucket
+   with them directly or through others, are compared exactly in blocks of bounded size
+   (classes of set size: sets too different in size can't be similar and don't meet).
+   A task holds two blocks and compares their sets with a matrix product.
+5. Connected components of the confirmed links, by alternating stars, each round
    written to the shared folder.
 
+No step holds a bucket, a component or a class in one task: buckets and copies are
+counted before they are shuffled, what they are joined with is a written table (so that
+Spark divides a large key), and leaders of many are repeated for slices of their
+members. No pair of members is written unless it is compared.
+
 Cases: null and empty texts have no shingles and no links; a text with fewer words than
 a shingle has is one shingle; documents with a null id are linked with nothing and
 kept; repeated rows with one id and text are in one class; an empty table gives no
-rows; only the id and the text are read.
+rows; only the id and the text are read. Very long texts are one set of 8 bytes a
+distinct shingle.
 """
 
 from __future__ import annotations
@@ -31,19 +42,20 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engramix.llm.common import arrow_schema, chunks, file_system, lean, materialize, record_batch, scratch
+from engramix.llm.common import Workspace, arrow_schema, chunks, file_system, kept, lean, materialize, record_batch, small_batches
 
 #: Members and shingles of a block; a task holds two.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Columns of the matrices of a product.
-COLUMNS = 4096
+COLUMNS = 2048
+#: Members that are compared with one copy of their leader.
+SLICE = 512
 #: Bits in a row that bitmap_construct_agg makes.
 BITMAP = 32768
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -129,44 +141,111 @@ def signatures(docs: DataFrame, width: int, groups: int, rows: int) -> DataFrame
     return docs.mapInArrow(lean(kernel), schema)
 
 
-def candidate_stars(classes: DataFrame) -> DataFrame:
-    """(a, b): every member of a table's bucket with the smallest, from classes (h1, first, second)."""
-    one = classes.select("h1", F.posexplode("first").alias("i", "x")).select("h1", F.xxhash64("i", "x").alias("k1"))
-    met = one.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1")
-    # Few classes share a signature of the first collection; only those get table keys.
-    left = one.join(met, "k1").join(classes.select("h1", "second"), "h1")
-    keyed = left.select("h1", "k1", F.posexplode("second").alias("j", "y")).select("h1", F.xxhash64("k1", "j", "y").alias("k2"))
-    least = keyed.groupBy("k2").agg(F.min("h1").alias("b"), F.count("*").alias("n")).where("n > 1").select("k2", "b")
-    return keyed.join(least, "k2").where("h1 <> b").select(F.col("h1").alias("a"), "b").distinct()
+def met_classes(classes: DataFrame, work: Workspace) -> DataFrame:
+    """node, h1, h2, doc_id, n, k1s, second of the classes that share a signature of the first collection with another one.
+
+    Nodes are numbers, smaller for classes in fuller buckets (by powers of about 1.12), so
+    that the smallest of a bucket is the one most like all others.
+    """
+    one = classes.select("h1", "h2", F.posexplode("first").alias("i", "x")).select("h1", "h2", F.xxhash64("i", "x").alias("k1"))
+    full = work.keep(one.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1"), "met")
+    held = one.join(full, "k1").groupBy("h1", "h2").agg(F.collect_list("k1").alias("k1s"), F.sum("c").alias("company"))  # a row of ``one`` for each signature
+    place = (F.lit(255) - F.least(F.lit(255), F.floor(6 * F.log2("company")))).cast("long")
+    node = F.shiftleft(place, 55) + F.monotonically_increasing_id()
+    return work.keep(held.join(classes.select("h1", "h2", "doc_id", "n", "second"), ["h1", "h2"]).select(node.alias("node"), "h1", "h2", "doc_id", "n", "k1s", "second"), "nodes")
+
+
+def table_keys(nodes: DataFrame, *more: str) -> DataFrame:
+    """node and k2 for all tables of each class."""
+    one = nodes.select("node", "second", *more, F.explode("k1s").alias("k1"))
+    return one.select("node", "k1", *more, F.posexplode("second").alias("j", "y")).select("node", *more, F.xxhash64("k1", "j", "y").alias("k2"))
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def components(edges: DataFrame, name: str, work: Workspace | None = None, falling_once: bool = False) -> DataFrame:
     """(node, root) of all nodes of undirected edges (a, b); the root is the component's smallest node.
 
-    Alternating large and small stars: every node joins its larger neighbours, then its
-    smaller ones, to the smallest; a star is stable. Rounds grow with the logarithm of a
-    component's size.
+    Alternating stars: every node joins its larger neighbours, then its smaller ones, to
+    the smallest. Only nodes that change anything are joined with their edges: those
+    with a smaller and a larger neighbour, or with two smaller ones. They are few, and a
+    written table, so the neighbours of a hub aren't brought into one task. Rounds grow
+    with the logarithm of a component's size. ``falling_once``: the edges are a written
+    table, each there once from its larger node.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        joined = both.join(least, "a")
-        if large:
-            out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        else:
-            out = joined.where("b <= a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    held = materialize(edges.select("a", "b").where("a <> b").distinct(), name)
-    before = None
+    def keep(df: DataFrame, what: str) -> DataFrame:
+        return work.keep(df, f"{name}-{what}") if work else materialize(df, f"{name}-{what}")
+
+    def falling(e: DataFrame) -> DataFrame:
+        """Edges once each, from the larger to the smaller node."""
+        return e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+    held = edges.select("a", "b") if falling_once else keep(falling(edges.select("a", "b")), "edges")
     while True:
-        held = materialize(star(star(held, True), False), name)
-        # Equal counts and sums of two rounds: the stars no longer change.
-        now = held.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
+        ends = held.select("a", F.col("b").alias("m"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(held.select(F.col("b").alias("a"), F.lit(None).cast("long").alias("m"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+        movers = keep(ends.groupBy("a").agg(F.min("m").alias("m"), F.sum("down").alias("down"), F.sum("up").alias("up")).where("down > 1 or down = 1 and up > 0"), "movers")
+        if movers.isEmpty():
             return held.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(held.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-        before = tuple(now)
+        # Larger neighbours of a node go to its smallest neighbour, as the node does.
+        through = movers.where("up > 0").select(F.col("a").alias("b"), "m")
+        moved = held.join(through, "b", "left").select("a", F.coalesce("m", "b").alias("b")).unionByName(through.select(F.col("b").alias("a"), F.col("m").alias("b")))
+        held = keep(falling(moved), "edges")
+        # Smaller neighbours of a node go to the smallest of them.
+        torn = keep(held.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("down")).where("down > 1").select("a", "m"), "torn")
+        joined = held.join(torn, "a", "left").select(F.when(F.col("m").isNull() | (F.col("b") == F.col("m")), F.col("a")).otherwise(F.col("b")).alias("a"), F.coalesce("m", "b").alias("b"))
+        held = keep(falling(joined), "edges")
+
+
+def _ratio(percent: int) -> float:
+    """Sets that are similar differ in size by less than this factor."""
+    return 101 / max(1, percent)
+
+
+def _to_leader(percent: int):
+    """Kernel over (leader, node, shingles), a leader's own set before its members': the links (a, b) with the leader."""
+    out = arrow_schema(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            made: list[tuple[int, int]] = []
+            leaders, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i in range(batch.num_rows):
+                if leaders[i] == nodes[i]:
+                    leader, own = leaders[i], np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64).copy()
+                elif leaders[i] == leader:
+                    other = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
+                    few, many = (own, other) if len(own) < len(other) else (other, own)
+                    if 100 * len(few) >= percent * len(many):
+                        common = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+                        if 100 * common >= percent * (len(few) + len(many) - common):
+                            made.append((int(nodes[i]), int(leader)))
+            yield record_batch(out, [a for a, _ in sorted(set(made))], [b for _, b in sorted(set(made))])
+
+    return lean(kernel)
+
+
+def leader_links(edges: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """The edges (a, b) whose sets are similar; b leads a, and is smaller."""
+    led = work.keep(edges.groupBy("b").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices")), "leaders")
+    many = led.where("slices > 1")
+    slices = F.coalesce("slices", F.lit(1))
+    members = edges.join(many, "b", "left").select("b", F.col("a").alias("node"), F.pmod(F.xxhash64("a"), slices).cast("int").alias("slice"))
+    leaders = led.select("b", F.col("b").alias("node"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    dealt = members.unionByName(leaders).join(sets, "node").select("b", "node", "shingles", "slice")
+    own = dealt.repartition("b", "slice").sortWithinPartitions("b", "slice", "node").select("b", "node", "shingles")
+    return work.keep(own.mapInArrow(_to_leader(percent), "a long, b long"), "leader-links")
+
+
+def unsettled(nodes: DataFrame, rooted: DataFrame, first: DataFrame, leaders: DataFrame, work: Workspace) -> DataFrame:
+    """Edges (node, other) that join the members of each bucket in which links between different components may be missing."""
+    told = nodes.join(rooted, "node", "left").join(first.select(F.col("a").alias("node"), F.col("b").alias("done")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keys = table_keys(told, "root", "done").join(leaders, "k2")
+    led, root = F.col("node") != F.col("b"), F.col("root")
+    seen = keys.groupBy("k2", "b").agg(F.min(F.when(led, root)).alias("low"), F.max(F.when(led, root)).alias("high"), F.max(F.when(~led, root)).alias("own"), F.max(F.when(led & ~F.col("done").eqNullSafe(F.col("b")), 1)).alias("new"))
+    open_ = work.keep(seen.where("low <> high or new = 1 and (own <> low or own <> high)").select("k2", "b"), "unsettled")
+    if open_.isEmpty():
+        return open_.select(F.col("k2").alias("a"), "b").limit(0)
+    return work.keep(table_keys(nodes).join(open_, "k2").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "unsettled-stars")
 
 
 def _links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -194,51 +273,90 @@ def _links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[t
             yield int(left[i]), int(right[j])
 
 
-def _forest(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """A spanning forest of the links within a block, or between two blocks."""
-    group = group.drop_duplicates("h1")
-    sets, nodes = [np.frombuffer(s, np.uint64) for s in group["shingles"]], group["h1"].tolist()
-    side = (group["block"] == group["bj"]).to_numpy().astype(np.int64) if (group["bi"] != group["bj"]).any() else np.zeros(len(group), np.int64)
-    parent = list(range(len(nodes)))
+def _forest(group: pa.Table, percent: int) -> pa.Table:
+    """A spanning forest of the links within a block, or between two blocks, that join different components."""
+    nodes, roots, side = (group.column(c).to_numpy() for c in ("node", "root", "side"))
+    _, once = np.unique(nodes, return_index=True)  # a repeated document has one set
+    nodes, roots, side = nodes[once], roots[once], side[once].astype(np.int64)
+    made: list[tuple[int, int]] = []
+    two = bool(group.column("two")[0].as_py())
+    if len(set(roots.tolist())) > 1 and (not two or side.min() < side.max()):
+        sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").take(pa.array(once)).to_pylist()]
+        parent: dict[int, int] = {}
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
+        def root(i: int) -> int:
+            while (up := parent.setdefault(i, i)) != i:
+                parent[i] = i = parent[up]
+            return i
 
-    made = []
-    if len(nodes) > 1 and (side.max() == 0 or side.min() == 0):
         for i, j in _links(sets, side, percent):
-            a, b = root(i), root(j)
+            a, b = root(int(roots[i])), root(int(roots[j]))
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                made.append((nodes[i], nodes[j]))
-    return pd.DataFrame({"a": pd.Series([x for x, _ in made], dtype="int64"), "b": pd.Series([x for _, x in made], dtype="int64")})
+                made.append((int(nodes[i]), int(nodes[j])))
+    return pa.table({"a": pa.array([x for x, _ in made], pa.int64()), "b": pa.array([x for _, x in made], pa.int64())})
+
+
+def block_links(clusters: DataFrame, nodes: DataFrame, rooted: DataFrame, sets: DataFrame, percent: int, work: Workspace) -> DataFrame:
+    """Links (a, b) between sets of one cluster (node, root) that are in different components so far, by blocks."""
+    members = clusters.select("node", F.col("root").alias("cluster")).join(nodes.select("node", "n"), "node").join(rooted, "node", "left")
+    members = work.keep(members.select("node", "cluster", "n", F.coalesce("root", "node").alias("root"), F.floor(F.log(F.col("n").cast("double")) / float(np.log(_ratio(percent)))).cast("int").alias("class")), "members")
+
+    def blocks(n: str, shingles: str) -> Column:
+        return F.greatest(F.ceil(F.col(n) / BLOCK_SETS), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("int")
+
+    sums = members.groupBy("cluster", "class").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    # A cluster that fits a block is one; the others have blocks of sets of about one size.
+    whole = sums.groupBy("cluster").agg(F.sum("c").alias("cc"), F.sum("s").alias("ss")).where(blocks("cc", "ss") > 1)
+    sizes = sums.join(whole, "cluster").select("cluster", "class", blocks("c", "s").alias("blocks"))
+    above = sizes.select("cluster", (F.col("class") - 1).alias("class"), F.col("blocks").alias("up"))
+    below = sizes.select("cluster", (F.col("class") + 1).alias("class"), F.col("blocks").alias("down"))
+    plan = work.keep(sizes.join(above, ["cluster", "class"], "left").join(below, ["cluster", "class"], "left"), "block-plan")
+    held = members.join(plan, ["cluster", "class"], "left")
+    block = F.pmod(F.xxhash64("node", F.lit(7)), F.coalesce("blocks", F.lit(1))).cast("int")
+    held = held.select("node", "cluster", "root", F.when(F.col("blocks").isNotNull(), F.col("class")).otherwise(-1).alias("class"), block.alias("block"), "blocks", "up", "down")
+
+    def meets(first_class, first, second_class, second, side, two) -> Column:
+        return F.struct(first_class.alias("ca"), first.alias("ba"), second_class.alias("cb"), second.alias("bb"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"), two.alias("two"))
+
+    c, b = F.col("class"), F.col("block")
+    same = F.transform(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1), lambda o: meets(c, F.least(b, o), c, F.greatest(b, o), (b > o).cast("int"), b != o))
+    up = F.when(F.col("up") > 0, F.transform(F.sequence(F.lit(0), F.col("up") - 1), lambda o: meets(c, b, c + 1, o, 0, F.lit(True))))
+    down = F.when(F.col("down") > 0, F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda o: meets(c - 1, o, c, b, 1, F.lit(True))))
+    none = F.array().cast("array<struct<ca:int,ba:int,cb:int,bb:int,side:int,two:boolean>>")
+    grid = held.select("node", "cluster", "root", F.explode(F.concat(same, F.coalesce(up, none), F.coalesce(down, none))).alias("p")).select("node", "cluster", "root", "p.*")
+    return work.keep(grid.join(sets, "node").groupBy("cluster", "ca", "ba", "cb", "bb").applyInArrow(lambda g: _forest(g, percent), "a long, b long"), "block-links")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups: int = 24, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable), kept (whether that is the document's own)."""
+    spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    signed = materialize(signatures(own, width, groups, rows), "signatures")
-    linked = signed.where("h1 is not null and doc_id is not null")
-    # One row for each distinct set; signatures of equal sets are equal.
-    classes = materialize(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")), "classes")
-    clusters = components(candidate_stars(classes), "clusters")
-    members = materialize(classes.select("h1", "doc_id", "n").join(clusters.withColumnRenamed("node", "h1"), "h1"), "members")
-    sizes = members.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    placed = members.join(sizes.select("root", blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("h1", F.lit(7)), F.col("blocks")).cast("int"))
-    sets = materialize(_sets(own, members, width), "shingle-sets")
-    # A block meets itself and every other block of its cluster once.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("bi"), F.greatest("block", o).alias("bj")))
-    grid = placed.select("h1", "root", "block", F.explode(pairs).alias("p")).select("h1", "root", "block", "p.bi", "p.bj")
-    links = grid.join(sets, "h1").groupBy("root", "bi", "bj").applyInPandas(lambda g: _forest(g, percent), "a long, b long")
-    joined = components(materialize(links, "links"), "components")
-    labelled = signed.join(joined.select(F.col("node").alias("h1"), "root"), "h1", "left").withColumn("label", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "h1")))
-    labelled = labelled.select("doc_id", "n", "label")
-    least = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c")).where("c > 1").drop("c")
-    out = labelled.join(least, "label", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    with Workspace(spark, "near-duplicates") as work:
+        signed = work.keep(signatures(own, width, groups, rows), "signatures")
+        linked = signed.where("h1 is not null and doc_id is not null")
+        # One row for each distinct set; signatures of equal sets are equal.
+        classes = work.keep(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"), F.min("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")), "classes")
+        nodes = met_classes(classes, work)
+        leaders = work.keep(table_keys(nodes).groupBy("k2").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").select("k2", "b"), "table-leaders")
+        first = work.keep(table_keys(nodes).join(leaders, "k2").where("node <> b").groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b")), "first-leaders")
+        involved = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
+        sets = _sets(own, nodes.join(involved, "node", "left_semi"), width, work)
+        links = leader_links(first, sets, percent, work)
+        rooted = components(links, "led", work, falling_once=True)
+        missing = unsettled(nodes, rooted, first, leaders, work)
+        if not missing.isEmpty():
+            links = links.unionByName(block_links(components(missing, "clusters", work), nodes, rooted, sets, percent, work))
+            rooted = components(links, "all", work)
+        found = rooted.join(nodes.select("node", "h1", "h2", "doc_id"), "node")
+        least = work.keep(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
+        named = found.join(least, "root").select("h1", "h2", "component_id")
+        labels = work.keep(classes.join(named, ["h1", "h2"], "left").where("docs > 1 or component_id is not null").select("h1", "h2", F.coalesce("component_id", "doc_id").alias("component_id")), "labels")
+        out = signed.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(labels, ["h1", "h2"], "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+        out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        return materialize(out, "near-duplicates-result")
 
 
 @lru_cache(2)
@@ -258,21 +376,25 @@ def _bitmap(folder: str, bits: int) -> np.ndarray:
     return held.reshape(-1)
 
 
-def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """h1 and the shingles of the members' documents and of a few others.
+kept("bitmap", _bitmap.cache_clear)
+
+
+def _sets(docs: DataFrame, members: DataFrame, width: int, work: Workspace) -> DataFrame:
+    """node and shingles of the members.
 
     A bitmap of hashed ids, of bounded size and read from the shared folder, spares the
-    other texts the work and all texts a shuffle; the join on h1 that follows is exact.
+    other texts the work and all texts a shuffle; the join on the digests that follows
+    is exact. A task returns a set that it meets again only once in a while.
     """
-    schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    schema = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("shingles", T.BinaryType())])
     out = arrow_schema(schema)
     bits = 1 << max(20, min(30, (32 * members.count()).bit_length()))
-    folder = scratch(docs.sparkSession, "member-bits")
+    folder = f"{work.folder}/member-bits"
     at = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
     members.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).write.parquet(folder)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held = Shingler(width), _bitmap(folder, bits)
+        shingles, held, met = Shingler(width), _bitmap(folder, bits), set()
 
         def chosen() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -280,8 +402,14 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                 yield batch.filter(pa.array((held[bit >> 3] >> (bit & 7) & 1).astype(bool)))
 
         for _, texts in chunks(chosen()):
-            sets = [s for s in map(shingles, texts) if len(s)]
-            keys = [int(np.frombuffer(hashlib.blake2b(s, digest_size=16).digest(), np.int64)[0]) for s in sets]
-            yield record_batch(out, keys, [s.tobytes() for s in sets])
-
-    return docs.select("doc_id", "text", at.alias("bit")).mapInArrow(lean(kernel), schema)
+            new = []
+            for t in texts:
+                if len(s := shingles(t)) and (d := hashlib.blake2b(s, digest_size=16).digest()) not in met:
+                    met.add(d)
+                    new.append((*np.frombuffer(d, np.int64).tolist(), s.tobytes()))
+            if len(met) > 100_000:
+                met.clear()
+            yield record_batch(out, *([x[k] for x in new] for k in range(3)))
+
+    made = docs.select("doc_id", "text", at.alias("bit")).where("doc_id is not null").mapInArrow(lean(kernel, "bitmap"), schema)
+    return work.keep(made.join(members.select("node", "h1", "h2"), ["h1", "h2"]).select("node", "shingles"), "shingle-sets")
