@@ -2,8 +2,9 @@
 
 A text becomes pre-tokens that no merge can cross. The distinct pre-tokens of a
 batch are held together as ragged numpy arrays of symbol ids; in every round each
-sequence's lowest-rank pair (leftmost on ties) is merged in all sequences at once,
-until no sequence has a pair left. The surviving symbols are the tokens; a symbol
+sequence's lowest-rank pair is merged in all sequences at once, and in each of them
+wherever it stands (from the left, up to the first place where the merge makes a pair
+of lower rank, which comes next), until no sequence has a pair left. The surviving symbols are the tokens; a symbol
 outside the vocabulary counts as its UTF-8 bytes. Counts of pre-tokens seen before
 come from a bounded cache.
 
@@ -14,7 +15,6 @@ not read, so their names cannot clash. A null id is carried through.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,8 +27,6 @@ from engramix.llm.common import arrow_schema, chunks, id_type, kept, lean, recor
 
 #: Pre-tokens whose counts a worker remembers; the cache is emptied when full.
 CACHE_ENTRIES = 1_000_000
-#: Sequences longer than this are merged one by one with a heap, in O(n log n).
-LONG = 256
 _NONE = np.iinfo(np.int64).max
 
 
@@ -104,6 +102,8 @@ class MergeCounter:
         by = np.argsort(keys)
         self.keys, self.merged, self.rank = keys[by], np.array(merged, np.int64)[by], np.array(order, np.int64)[by]
         self.symbols = {c: symbols[c] for c in chars}
+        #: Characters that stand side by side in a piece.
+        self.beside = np.unique(np.array([symbols[a] * self.size + symbols[b] for p in normal for a, b in zip(p, p[1:], strict=False)], np.int64))
         self.spaced = {p[0] for p in normal if "▁" in p[1:]} <= {"▁"} and all(set(p.rstrip("▁")) <= {"▁"} or "▁" not in p.lstrip("▁") for p in normal)
         if not self.spaced:
             raise ValueError("a piece of the model spans a word boundary")
@@ -118,88 +118,69 @@ class MergeCounter:
         hit = self.keys[at] == key
         return np.where(hit, self.rank[at], _NONE), np.where(hit, self.merged[at], -1)
 
-    def _long(self, ids: list[int], costs: list[int]) -> int:
-        """One long sequence, with a heap of its pairs."""
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank, merged = (x.tolist() for x in self._pairs(np.array(ids[:-1]), np.array(ids[1:])))
-        heap = [(r, i, ids[i], ids[i + 1], m) for i, (r, m) in enumerate(zip(rank, merged, strict=True)) if r != _NONE]
-        heapq.heapify(heap)
-        alive = [True] * n
-
-        def push(i: int, j: int) -> None:
-            if i >= 0 and j < n:
-                (r,), (m,) = self._pairs(np.array([ids[i]]), np.array([ids[j]]))
-                if r != _NONE:
-                    heapq.heappush(heap, (int(r), i, ids[i], ids[j], int(m)))
-
-        while heap:
-            _, i, a, b, m = heapq.heappop(heap)
-            if not alive[i] or ids[i] != a or (j := after[i]) >= n or ids[j] != b:
-                continue
-            ids[i], costs[i], alive[j] = m, 1, False
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            push(before[i], i), push(i, after[i])
-        return sum(c for c, ok in zip(costs, alive, strict=True) if ok)
-
     def count_units(self, units: list[str]) -> np.ndarray:
         """Tokens of each pre-token."""
         get = self.symbols.get
         total = np.zeros(len(units), np.int64)
         flat: list[int] = []
         cost: list[int] = []
-        lengths, which = [], []
-        for k, unit in enumerate(units):
+        for unit in units:
             ids = [get(c, -1) for c in unit]
-            costs = [int(self.cost[i]) if i >= 0 else len(c.encode()) for c, i in zip(unit, ids, strict=True)] if min(ids) < 0 else None
-            if len(ids) > LONG:
-                total[k] = self._long(ids, costs or self.cost[ids].tolist())
-                continue
             flat += ids
-            cost += costs or self.cost[ids].tolist()
-            lengths.append(len(ids)), which.append(k)
-        if not which:
+            cost += [int(self.cost[i]) if i >= 0 else len(c.encode()) for c, i in zip(unit, ids, strict=True)] if min(ids) < 0 else self.cost[ids].tolist()
+        if not flat:
             return total
-        sym, width, seq = np.array(flat, np.int64), np.array(cost, np.int64), np.repeat(np.arange(len(which)), lengths)
-        owner = np.array(which)
-        rank = np.full(len(sym), _NONE)
-        into = np.full(len(sym), -1)
-        same = np.flatnonzero(seq[:-1] == seq[1:])
+        sym, width, owner = np.array(flat, np.int64), np.array(cost, np.int64), np.repeat(np.arange(len(units)), [len(u) for u in units])
+        # No merge crosses two characters that are side by side in no piece: each side is a sequence of its own.
+        pair = sym[:-1] * self.size + sym[1:]
+        near = np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)
+        apart = (owner[1:] != owner[:-1]) | (sym[:-1] < 0) | (sym[1:] < 0) | (self.beside[near] != pair)
+        seq = np.r_[0, np.cumsum(apart)]
+        rank, into = np.full(len(sym), _NONE), np.full(len(sym), -1)
+        same = np.flatnonzero(~apart)
         rank[same], into[same] = self._pairs(sym[same], sym[same + 1])
         while len(sym):
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             best = np.minimum.reduceat(rank, starts)
-            done = best == _NONE
             sizes = np.diff(np.r_[starts, len(seq)])
+            done = best == _NONE
             if done.any():
-                total[owner[seq[starts[done]]]] = np.add.reduceat(width, starts)[done]
+                np.add.at(total, owner[starts[done]], np.add.reduceat(width, starts)[done])
                 keep = np.repeat(~done, sizes)
-                sym, width, seq, rank, into = sym[keep], width[keep], seq[keep], rank[keep], into[keep]
+                sym, width, owner, seq, rank, into = sym[keep], width[keep], owner[keep], seq[keep], rank[keep], into[keep]
+                best, sizes = best[~done], sizes[~done]
                 if not len(sym):
                     break
-                starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
-                best, sizes = best[~done], sizes[~done]
-            hits = np.flatnonzero(rank == np.repeat(best, sizes))
-            at = hits[np.r_[True, seq[hits][1:] != seq[hits][:-1]]]  # the leftmost of each sequence
-            sym[at], width[at] = into[at], 1
-            keep = np.ones(len(sym), bool)
-            keep[at + 1] = False
-            rank[at] = rank[at + 1]
-            moved = np.cumsum(keep) - 1
-            sym, width, seq, rank, into = sym[keep], width[keep], seq[keep], rank[keep], into[keep]
-            at = moved[at]
-            fresh = np.unique(np.r_[at, np.maximum(at - 1, 0)])
-            fresh = fresh[fresh + 1 < len(sym)]
-            inside = seq[fresh] == seq[fresh + 1]
-            last = fresh[~inside]
-            rank[last], into[last] = _NONE, -1
-            fresh = fresh[inside]
-            rank[fresh], into[fresh] = self._pairs(sym[fresh], sym[fresh + 1])
-            rank[-1], into[-1] = _NONE, -1
+            sym, width, owner, seq, rank, into = self._round(sym, width, owner, seq, rank, into, np.repeat(best, sizes))
         return total
 
+    def _round(self, sym, width, owner, seq, rank, into, best):
+        """Merge every sequence's lowest-rank pair wherever it stands, from the left, up to the first place where that makes a pair of lower rank."""
+        hits = np.flatnonzero(rank == best)
+        order = np.arange(len(hits))
+        begin = np.maximum.accumulate(np.where(np.r_[True, np.diff(hits) != 1], order, 0))
+        at = hits[(order - begin) % 2 == 0]  # of places that overlap, every other one
+        own, made = seq[at], into[at]
+        joined = np.r_[False, (np.diff(at) == 2) & (own[1:] == own[:-1])]
+        before, after = np.maximum(at - 1, 0), np.minimum(at + 2, len(sym) - 1)
+        has_left, has_right = (at > 0) & (seq[before] == own), (at + 2 < len(sym)) & (seq[after] == own)
+        left = self._pairs(np.where(joined, np.r_[-1, made[:-1]], np.where(has_left, sym[before], -1)), made)
+        right = self._pairs(made, np.where(has_right, sym[after], -1))
+        lower = np.minimum(left[0], right[0]) < rank[at]
+        if lower.any():
+            earlier = np.cumsum(lower) - lower
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            take = earlier == np.repeat(earlier[first], np.diff(np.r_[first, len(own)]))
+            at, made, joined, has_left = at[take], made[take], joined[take], has_left[take]
+            left, right = (left[0][take], left[1][take]), (right[0][take], right[1][take])
+        sym[at], width[at] = made, 1
+        rank[at], into[at] = right
+        place = np.where(joined, at - 2, at - 1)[has_left]
+        rank[place], into[place] = left[0][has_left], left[1][has_left]
+        keep = np.ones(len(sym), bool)
+        keep[at + 1] = False
+        return sym[keep], width[keep], owner[keep], seq[keep], rank[keep], into[keep]
+
     def _learn(self, cache: dict[str, int], units: set[str], prefix: str) -> None:
         if len(cache) + len(units) > CACHE_ENTRIES:
             cache.clear()
