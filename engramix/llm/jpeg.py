@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+#: Restart intervals that are decoded side by side: what decoding needs beside the file and its coefficients is bounded by them.
+GROUP = 1 << 15
 #: Application segment that holds the number of blocks of the payload.
 PAYLOAD_TAG = b"BLOCKS\0"
 _SIZE = np.array([int(v).bit_length() for v in range(2048)], np.int64)
@@ -240,7 +242,7 @@ def decode(files: list[bytes]) -> list[tuple[Image, np.ndarray]]:
     """(markers, coefficients (blocks, 64) in scan and zigzag order) of each file."""
     images = [parse(f) for f in files]
     tables: dict[tuple[bytes, bytes], int] = {}
-    lanes: list[tuple[int, int, int, int]] = []  # image, first byte, first block, blocks
+    lanes: list[tuple[np.ndarray, ...]] = []  # image, first byte, first block, blocks of every interval
     streams, base, blocks = [], 0, 0
     plans = [im.units() for im in images]
     firsts = []
@@ -252,23 +254,18 @@ def decode(files: list[bytes]) -> list[tuple[Image, np.ndarray]]:
         stop = int(ends[0]) if len(ends) else len(raw)
         ff, after = ff[ff < stop], after[ff < stop]
         marks = ff[(after >= 0xD0) & (after <= 0xD7)]
-        drop = np.zeros(stop, bool)
-        drop[ff[after == 0] + 1] = True
-        drop[marks] = drop[marks + 1] = True
-        kept = np.cumsum(~drop)
-        starts = np.r_[0, kept[marks]] if len(marks) else np.zeros(1, np.int64)
+        gone = np.sort(np.r_[ff[after == 0] + 1, marks, marks + 1])
+        keep = np.ones(stop, bool)
+        keep[gone] = False
+        starts = np.r_[0, marks - np.searchsorted(gone, marks)]
         each = (im.interval or mcus) * len(plan)
-        for k, s in enumerate(starts.tolist()):
-            if k * each < total:
-                lanes.append((len(firsts), base + s, blocks + k * each, min(each, total - k * each)))
+        first = np.arange(len(starts), dtype=np.int64) * each
+        starts, first = starts[first < total], first[first < total]
+        lanes.append((np.full(len(first), len(firsts)), base + starts, blocks + first, np.minimum(each, total - first)))
         firsts.append(blocks)
-        streams.append(raw[:stop][~drop])
+        streams.append(raw[:stop][keep])
         base += len(streams[-1])
         blocks += total
-    data = np.concatenate([*streams, np.zeros(8, np.uint8)]).astype(np.uint64)
-    window = np.zeros(base + 1, np.uint64)
-    for k in range(8):
-        window = window << np.uint64(8) | data[k : k + base + 1]
     most = max((len(p[0]) for p in plans), default=1)
     dc, ac, comp, units = (np.zeros((len(files), most), np.int64) for _ in range(4))
     for i, (im, (plan, *_)) in enumerate(zip(images, plans, strict=True)):
@@ -278,19 +275,46 @@ def decode(files: list[bytes]) -> list[tuple[Image, np.ndarray]]:
         units[i] = len(plan)
     look = np.concatenate([_lookup(*t) for t in tables]) if tables else np.zeros(0, np.int64)
     out = np.zeros((blocks, 64), np.int16)
-    if not lanes:
-        return [(im, out[a : a + p[3]]) for im, a, p in zip(images, firsts, plans, strict=True)]
-    image, start, block, left = (np.array(x, np.int64) for x in zip(*lanes, strict=True))
-    pos, k, within = start * 8, np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
-    before = np.zeros((len(lanes), 4), np.int64)
-    row = np.arange(len(lanes))
-    single = most == 1
-    flat = out.reshape(-1)
+    if blocks:
+        made = _Tables(look, dc, ac, comp, units, most == 1)
+        stream = np.concatenate([*streams, np.zeros(8, np.uint8)])
+        streams.clear()
+        image, start, block, left = (np.concatenate(x) for x in zip(*lanes, strict=True))
+        stop = np.r_[start[1:], base]
+        for i in range(0, len(image), GROUP):
+            own = slice(i, i + GROUP)
+            low, high = int(start[i]), int(stop[own][-1])
+            _intervals(stream[low : high + 8], made, image[own], start[own] - low, block[own], left[own], out.reshape(-1))
+    return [(im, out[a : a + p[3]]) for im, a, p in zip(images, firsts, plans, strict=True)]
+
+
+@dataclass
+class _Tables:
+    """Huffman look-up, and where in it the tables of a unit of an image begin."""
+
+    look: np.ndarray
+    dc: np.ndarray
+    ac: np.ndarray
+    comp: np.ndarray
+    units: np.ndarray
+    single: bool
+
+
+def _intervals(stream: np.ndarray, made: _Tables, image: np.ndarray, start: np.ndarray, block: np.ndarray, left: np.ndarray, flat: np.ndarray) -> None:
+    """Decode a group of restart intervals side by side into the coefficients."""
+    base = len(stream) - 8
+    data = stream.astype(np.uint64)
+    window = np.zeros(base + 1, np.uint64)
+    for k in range(8):
+        window = window << np.uint64(8) | data[k : k + base + 1]
+    pos, k, within = start * 8, np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+    before = np.zeros((len(start), 4), np.int64)
+    row = np.arange(len(start))
     while len(pos):
         held = window[np.minimum(pos >> 3, base)] << (pos & 7).astype(np.uint64)
-        unit = 0 if single else within % units[image, 0]
+        unit = 0 if made.single else within % made.units[image, 0]
         opening = k == 0
-        found = look[np.where(opening, dc[image, unit], ac[image, unit]) + (held >> np.uint64(48)).astype(np.int64)]
+        found = made.look[np.where(opening, made.dc[image, unit], made.ac[image, unit]) + (held >> np.uint64(48)).astype(np.int64)]
         n, symbol = found >> 8, found & 255
         if not n.all():
             raise ValueError("a code of no symbol")
@@ -301,7 +325,7 @@ def decode(files: list[bytes]) -> list[tuple[Image, np.ndarray]]:
         run = np.where(opening, 0, symbol >> 4)
         at = k + run
         if opening.any():
-            c = comp[image, unit]
+            c = made.comp[image, unit]
             total = before[row, c] + value
             before[row[opening], c[opening]] = total[opening]
             value = np.where(opening, total, value)
@@ -316,7 +340,6 @@ def decode(files: list[bytes]) -> list[tuple[Image, np.ndarray]]:
             if not keep.all():
                 image, block, left, pos, k, within, before = (x[keep] for x in (image, block, left, pos, k, within, before))
                 row = np.arange(len(pos))
-    return [(im, out[a : a + p[3]]) for im, a, p in zip(images, firsts, plans, strict=True)]
 
 
 def thumbnail(image: Image, coefficients: np.ndarray) -> np.ndarray:
