@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 
 from engramix.llm.common import arrow_schema, chunks, file_system, id_type, kept, lean, materialize, record_batch, scratch, text_frame
 
-#: Benchmark text in one block of phrases; an executor holds two blocks at most.
-BLOCK_BYTES = 16 << 20
-#: Places of rarest terms that are looked at together in a search for unordered matches.
+#: Benchmark text in one block of phrases; a worker holds two blocks at most, and as many segments as HELD while it goes through the blocks.
+BLOCK_BYTES, HELD = 1 << 20, 16
+#: Places of rarest terms that are looked at together.
 NEAR_PLACES = 1 << 20
 #: Bytes that separate words; all others, after A-Z are lower-cased, are part of one.
 _APART = bytes(32 if b < 0x30 or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
@@ -150,50 +150,50 @@ class Phrases:
         """(length, start positions, documents, documents by item, items) of all exact matches, for each length."""
         size, begin, keys = segment.postings(self.numbers)
         for n, (windows, count, first, owners) in self.by_length.items():
-            frequency = size[windows]
-            live = np.flatnonzero((frequency > 0).all(axis=1))
-            if not len(live):
-                continue
-            order = np.argsort(frequency[live], axis=1, kind="stable")  # the rarest term first
-            rarest = windows[live, order[:, 0]]
-            which, k = _spread(size[rarest])
-            start = (keys[begin[rarest[which]] + k] & 0xFFFFFFFF) - order[which, 0]
-            keep = start >= 0
-            which, start = which[keep], start[keep]
-            for r in range(1, n):
-                if not len(which):
-                    break
-                place = order[which, r]
-                wanted = windows[live[which], place] << 32 | (start + place)
-                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                keep = keys[at] == wanted
+            for live, order in self._parts(windows, size):
+                rarest = windows[live, order[:, 0]]
+                which, k = _spread(size[rarest])
+                start = (keys[begin[rarest[which]] + k] & 0xFFFFFFFF) - order[which, 0]
+                keep = start >= 0
                 which, start = which[keep], start[keep]
-            if not len(which):
-                continue
-            doc = segment.doc(start)
-            keep = doc == segment.doc(start + n - 1)
-            which, start, doc = live[which[keep]], start[keep], doc[keep]
-            whose, j = _spread(count[which])
-            yield n, start, doc, doc[whose], owners[first[which[whose]] + j]
+                for r in range(1, n):
+                    if not len(which):
+                        break
+                    place = order[which, r]
+                    wanted = windows[live[which], place] << 32 | (start + place)
+                    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    keep = keys[at] == wanted
+                    which, start = which[keep], start[keep]
+                if not len(which):
+                    continue
+                doc = segment.doc(start)
+                keep = doc == segment.doc(start + n - 1)
+                which, start, doc = live[which[keep]], start[keep], doc[keep]
+                whose, j = _spread(count[which])
+                yield n, start, doc, doc[whose], owners[first[which[whose]] + j]
+
+    @staticmethod
+    def _parts(windows: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(windows all of whose terms occur, places of their terms by frequency), in parts with at most NEAR_PLACES places of rarest terms, one window at least."""
+        live = np.flatnonzero((size[windows] > 0).all(axis=1))
+        order = np.argsort(size[windows[live]], axis=1, kind="stable")  # the rarest term first
+        ends = np.cumsum(size[windows[live, order[:, 0]]])
+        at = 0
+        while at < len(live):
+            done = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, done + NEAR_PLACES, "right")))
+            yield live[at:upto], order[at:upto]
+            at = upto
 
     def near(self, segment: Segment, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(documents, items) of windows all of whose words stand, in any order, within ``slop`` more consecutive words than the window has."""
         size, begin, keys = segment.postings(self.numbers)
         for n, (windows, count, first, owners) in self.by_length.items():
-            frequency = size[windows]
-            live = np.flatnonzero((frequency > 0).all(axis=1))
-            order = np.argsort(frequency[live], axis=1, kind="stable")  # the rarest term first
-            sorted_ = np.take_along_axis(windows[live], order, axis=1)
-            ends = np.cumsum(size[sorted_[:, 0]])
-            at = 0
-            while at < len(live):  # windows with at most NEAR_PLACES places of their rarest terms, one window at least
-                done = ends[at - 1] if at else 0
-                upto = max(at + 1, int(np.searchsorted(ends, done + NEAR_PLACES, "right")))
-                which, doc = self._stretches(segment, size, begin, keys, sorted_[at:upto], n + slop)
-                which = live[at + which]
+            for live, order in self._parts(windows, size):
+                which, doc = self._stretches(segment, size, begin, keys, np.take_along_axis(windows[live], order, axis=1), n + slop)
+                which = live[which]
                 whose, j = _spread(count[which])
                 yield doc[whose], owners[first[which[whose]] + j]
-                at = upto
 
     @staticmethod
     def _stretches(segment: Segment, size: np.ndarray, begin: np.ndarray, keys: np.ndarray, terms: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,6 +265,18 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Seg
             yield ids, Segment(_values(lengths), terms.split(b" ") if terms else [], _values(counts), _values(steps))
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Array, Segment]]]:
+    """Segments, HELD at a time: each block of phrases is read once for them."""
+    held = []
+    for one in _segments(batches):
+        held.append(one)
+        if len(held) == HELD:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def search(index: DataFrame, items: DataFrame, width: int = 10, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Exact phrase matches: doc_id, n_words, n_hit, items (their ids as sorted strings), spans (hit word ranges)."""
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
@@ -273,25 +285,29 @@ def search(index: DataFrame, items: DataFrame, width: int = 10, item_col: str =
     paths = write_phrases(items, width, item_col, item_text)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, segment in _segments(batches):
-            n = len(segment.lengths)
-            edge = np.zeros(int(segment.lengths.sum()) + 1, np.int64)
-            found: list[set[str]] = [set() for _ in range(n)]
+        for group in _groups(batches):
+            edges = [np.zeros(int(segment.lengths.sum()) + 1, np.int64) for _, segment in group]
+            items: list[dict[int, set[str]]] = [{} for _ in group]
             for path in paths:
                 phrases = _phrases(path)
-                for length, start, _, doc, item in phrases.occurrences(segment):
-                    np.add.at(edge, start, 1)
-                    np.add.at(edge, start + length, -1)
-                    for d, k in np.unique(np.stack([doc, item]), axis=1).T.tolist():
-                        found[d].add(phrases.names[k])
-            hit = np.cumsum(edge)[:-1] > 0
-            total = np.r_[0, np.cumsum(hit)]
-            n_hit = total[segment.starts + segment.lengths] - total[segment.starts]
-            spans: list[list[dict]] = [[] for _ in range(n)]
-            for d in np.flatnonzero(n_hit).tolist():
-                own = np.flatnonzero(np.diff(np.r_[0, hit[segment.starts[d] : segment.starts[d] + segment.lengths[d]].astype(np.int8), 0]))
-                spans[d] = [{"first": int(a), "last": int(b) - 1} for a, b in zip(own[::2], own[1::2], strict=True)]
-            yield record_batch(out, ids, pa.array(segment.lengths), pa.array(n_hit), [sorted(x) for x in found], spans)
+                for (_, segment), edge, found in zip(group, edges, items, strict=True):
+                    for length, start, _, doc, item in phrases.occurrences(segment):
+                        np.add.at(edge, start, 1)
+                        np.add.at(edge, start + length, -1)
+                        for d, k in np.unique(np.stack([doc, item]), axis=1).T.tolist():
+                            found.setdefault(d, set()).add(phrases.names[k])
+            for (ids, segment), edge, found in zip(group, edges, items, strict=True):
+                yield told(ids, segment, edge, found)
+
+    def told(ids: pa.Array, segment: Segment, edge: np.ndarray, found: dict[int, set[str]]) -> pa.RecordBatch:
+        hit = np.cumsum(edge)[:-1] > 0
+        total = np.r_[0, np.cumsum(hit)]
+        n_hit = total[segment.starts + segment.lengths] - total[segment.starts]
+        spans: list[list[dict]] = [[] for _ in segment.lengths]
+        for d in np.flatnonzero(n_hit).tolist():
+            own = np.flatnonzero(np.diff(np.r_[0, hit[segment.starts[d] : segment.starts[d] + segment.lengths[d]].astype(np.int8), 0]))
+            spans[d] = [{"first": int(a), "last": int(b) - 1} for a, b in zip(own[::2], own[1::2], strict=True)]
+        return record_batch(out, ids, pa.array(segment.lengths), pa.array(n_hit), [sorted(found.get(d, ())) for d in range(len(segment.lengths))], spans)
 
     return index.mapInArrow(lean(kernel, "phrases"), schema)
 
@@ -309,17 +325,19 @@ def search_near(index: DataFrame, items: DataFrame, slop: int = 20, width: int =
     paths = write_phrases(items, width, item_col, item_text)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, segment in _segments(batches):
-            found: list[dict[str, int]] = [{} for _ in segment.lengths]
+        for group in _groups(batches):
+            items: list[list[dict[str, int]]] = [[{} for _ in segment.lengths] for _, segment in group]
             for path in paths:
                 phrases = _phrases(path)
-                for doc, k in phrases.near(segment, slop):
-                    pairs, n = np.unique(np.stack([doc, k]), axis=1, return_counts=True)
-                    for (d, i), m in zip(pairs.T.tolist(), n.tolist(), strict=True):
-                        name = phrases.names[i]
-                        found[d][name] = found[d].get(name, 0) + m
-            near = [[{"item_id": name, "n_matches": m} for name, m in sorted(x.items())] for x in found]
-            yield record_batch(out, ids, pa.array(segment.lengths), near)
+                for (_, segment), found in zip(group, items, strict=True):
+                    for doc, k in phrases.near(segment, slop):
+                        pairs, n = np.unique(np.stack([doc, k]), axis=1, return_counts=True)
+                        for (d, i), m in zip(pairs.T.tolist(), n.tolist(), strict=True):
+                            name = phrases.names[i]
+                            found[d][name] = found[d].get(name, 0) + m
+            for (ids, segment), found in zip(group, items, strict=True):
+                near = [[{"item_id": name, "n_matches": m} for name, m in sorted(x.items())] for x in found]
+                yield record_batch(out, ids, pa.array(segment.lengths), near)
 
     return index.mapInArrow(lean(kernel, "phrases"), schema)
 
