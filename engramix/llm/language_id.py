@@ -19,19 +19,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engramix.llm.common import arrow_schema, chunks, id_type, lean, record_batch, text_frame
 
-#: Rows of the fit; a fifth of them only set the temperature.
-SAMPLE = 6000
+#: Rows of the fit at most, a fifth of which only set the temperature, and distinct n-grams of all of them together.
+SAMPLE, FEATURES = 6000, 1 << 24
 ORDERS, BITS = (1, 2, 3), 16
 #: Characters that a kernel expands to n-grams at a time.
 CHARS = 1 << 19
 #: Learning rate, its offset, L1 and L2 penalties, passes; features are scaled to a sum near SCALE.
-ALPHA, BETA, L1, L2, PASSES, SCALE = 0.3, 1.0, 1e-3, 1e-3, 2, 30.0
+ALPHA, BETA, L1, L2, PASSES, SCALE = 0.3, 1.0, 0.05, 1e-3, 2, 30.0
 
 
 @lru_cache(1)
@@ -66,6 +66,8 @@ class Model:
     weights: np.ndarray  # buckets x languages, the inverse document frequencies included
     bias: np.ndarray
     temperature: float = 1.0
+    sparsity: float = 0.0  # share of zeros among the weights of buckets that were seen
+    error: float = 0.0  # calibration error on the rows set aside
 
     def logits(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.languages)))
@@ -101,25 +103,28 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(texts: list[str], languages: list[str], idf: np.ndarray, aside: np.ndarray) -> Model:
-    """Follow the regularised leader over the rows not set aside; the others set the temperature."""
+def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets of a text's n-grams, how often each occurs)."""
+    ids, count = np.unique(ngrams([text])[0], return_counts=True)
+    return ids.astype(np.int64), count
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], languages: list[str], idf: np.ndarray, aside: np.ndarray) -> Model:
+    """Follow the regularised leader over the rows (buckets, counts) not set aside; the others set the temperature."""
     names = sorted(set(languages))
     y = np.array([names.index(x) for x in languages])
     z, n = np.zeros((len(idf) + 1, len(names))), np.zeros((len(idf) + 1, len(names)))
 
-    def weights(rows: np.ndarray | slice) -> np.ndarray:
-        held = z[rows]
-        return np.where(np.abs(held) > L1, -(held - np.sign(held) * L1) / ((BETA + np.sqrt(n[rows])) / ALPHA + L2), 0.0)
+    def weights(at: np.ndarray | slice) -> np.ndarray:
+        held = z[at]
+        return np.where(np.abs(held) > L1, -(held - np.sign(held) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2), 0.0)
 
-    rows = []
-    for t in texts:
-        ids, count = np.unique(ngrams([t])[0], return_counts=True)
-        rows.append((np.r_[ids, len(idf)], np.r_[SCALE * count * idf[ids] / count.sum(), 1.0]))  # the last is the bias
     order = np.random.default_rng(7)
     learn = np.flatnonzero(~aside)
     for _ in range(PASSES):
         for i in order.permutation(learn).tolist():
-            ids, x = rows[i]
+            ids, count = rows[i]
+            ids, x = np.r_[ids, len(idf)], np.r_[SCALE * count * idf[ids] / count.sum(), 1.0]  # the last is the bias
             w = weights(ids)
             p = softmax((x[:, None] * w).sum(axis=0)[None])[0]
             p[y[i]] -= 1
@@ -129,14 +134,43 @@ def fit(texts: list[str], languages: list[str], idf: np.ndarray, aside: np.ndarr
             n[ids] += g * g
     w = weights(slice(None))
     model = Model(names, (SCALE * w[:-1] * idf[:, None]).astype(np.float32), w[-1])
+    seen = np.unique(np.concatenate([rows[i][0] for i in learn])) if len(learn) else np.zeros(0, np.int64)
+    model.sparsity = float((w[seen] == 0).mean()) if len(seen) else 1.0
     held = np.flatnonzero(aside) if aside.any() else learn
-    logits, own = model.logits([texts[i] for i in held]), y[held]
-    tried = np.geomspace(0.05, 20, 200)
-    loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(own)), own], 1e-12)).mean() for t in tried]
-    model.temperature = float(tried[int(np.argmin(loss))])
+    logits = np.stack([(model.weights[ids].astype(float) * count[:, None]).sum(axis=0) / count.sum() + model.bias for ids, count in (rows[i] for i in held)])
+    model.temperature, model.error = calibrate(logits, y[held])
     return model
 
 
+def calibrate(logits: np.ndarray, own: np.ndarray) -> tuple[float, float]:
+    """The temperature of least log loss, and the calibration error with it (ten bins of the score).
+
+    The targets are smoothed as if each row had been seen with one more of every language: rows told apart without a
+    mistake, which alone would ask for a temperature of zero, give one that fits their number.
+    """
+    rows, k = logits.shape
+    if k < 2:
+        return 1.0, 0.0
+    target = np.full((rows, k), 1 / (rows + k))
+    target[np.arange(rows), own] += 1 - k / (rows + k)
+
+    def loss(log_t: float) -> float:
+        x = logits / np.exp(log_t)
+        x = x - x.max(axis=1, keepdims=True)
+        return float((target * (np.log(np.exp(x).sum(axis=1, keepdims=True)) - x)).sum(axis=1).mean())
+
+    low, high, part = np.log(1e-4), np.log(1e4), (5**0.5 - 1) / 2
+    for _ in range(80):  # the loss has one minimum in 1 / temperature
+        a, b = high - part * (high - low), low + part * (high - low)
+        low, high = (low, b) if loss(a) <= loss(b) else (a, high)
+    temperature = float(np.exp((low + high) / 2))
+    p = softmax(logits / temperature)
+    top, right = p.max(axis=1), p.argmax(axis=1) == own
+    bins = np.minimum((top * 10).astype(int), 9)
+    error = sum(abs(float(top[bins == i].mean() - right[bins == i].mean())) * float((bins == i).mean()) for i in range(10) if (bins == i).any())
+    return temperature, error
+
+
 def train(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from the eligible rows that have a text and a language."""
     rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
@@ -163,9 +197,23 @@ def train(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: s
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 0.1
     order = F.xxhash64(F.col("doc_id").cast("string"))
     chosen = rows.select("doc_id", order.alias("h")).orderBy("h", "doc_id").limit(SAMPLE)
-    held = rows.join(F.broadcast(chosen), "doc_id").orderBy("h", "doc_id", F.xxhash64("text")).limit(2 * SAMPLE).select("h", "text", "lang").toPandas()
+    kind = T.StructType([T.StructField(n, t) for n, t in (("h", T.LongType()), ("lang", T.StringType()), ("buckets", T.BinaryType()), ("counts", T.BinaryType()))])
+    made = arrow_schema(kind)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, count = counted(batch.column(0)[i].as_py())
+                yield record_batch(made, batch.column(1).slice(i, 1), batch.column(2).slice(i, 1), [ids.astype("<u2").tobytes()], [count.astype("<u4").tobytes()])
+
+    taken = rows.join(F.broadcast(chosen), "doc_id").select("text", "h", "lang").mapInArrow(lean(sampled), kind)
+    taken = taken.orderBy("h", F.xxhash64("buckets", "counts"), "lang").limit(SAMPLE)
+    # What the driver holds is bounded in rows and in features.
+    so_far = F.sum(F.length("buckets") / 2).over(Window.orderBy("h", F.xxhash64("buckets", "counts"), "lang").rowsBetween(Window.unboundedPreceding, 0))
+    held = taken.withColumn("so_far", so_far).where(F.col("so_far") <= FEATURES).drop("so_far").toPandas()
     aside = (held["h"].to_numpy() // 7 % 5 == 0) if len(held) > 20 else np.zeros(len(held), bool)
-    return fit(held["text"].tolist(), held["lang"].tolist(), idf, aside)
+    features = [(np.frombuffer(b, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.int64)) for b, c in zip(held["buckets"], held["counts"], strict=True)]
+    return fit(features, held["lang"].tolist(), idf, aside)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,14 +18,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from engramix.llm.common import arrow_schema, chunks, id_type, lean, record_batch, text_frame
 
-#: Labelled rows of the fit, chosen by a hash of the id.
-SAMPLE = 12_000
+#: Labelled rows of the fit at most, chosen by a hash of the id, and inputs (distinct words, mostly) of all of them together.
+SAMPLE, INPUTS = 12_000, 1 << 25
 BITS, RANK, LEVELS = 16, 8, 16
 #: Learning rate, L2 penalties of weights and factors; passes, and rows seen at least (in 40 passes at most).
 RATE, L2, L2V, PASSES, SEEN = 0.08, 1e-5, 1e-4, 4, 48_000
@@ -127,7 +127,10 @@ def train(docs: DataFrame, labels: DataFrame, eligible: Column, label_col: str =
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "h", "label").mapInArrow(lean(kernel), kind)
-    held = rows.orderBy("h", F.xxhash64("ids")).limit(2 * SAMPLE).toPandas()
+    held = rows.orderBy("h", F.xxhash64("ids"), "label").limit(SAMPLE)
+    # What the driver holds is bounded in rows and in inputs.
+    so_far = F.sum(F.size("ids")).over(Window.orderBy("h", F.xxhash64("ids"), "label").rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("so_far", so_far).where(F.col("so_far") <= INPUTS).drop("so_far").toPandas()
     made = []
     for ids in held["ids"]:
         ids = np.asarray(ids, np.int64)
