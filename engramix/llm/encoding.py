@@ -19,7 +19,7 @@ import numpy as np
 from engramix.llm.common import kept
 
 #: A worker's cache is emptied beyond so many chunks, or characters in them.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 8 << 20
+CACHE_ENTRIES, CACHE_CHARS = 600_000, 8 << 20
 
 
 #: A place between a letter and a symbol other than an apostrophe: the tokenizer splits there too.
