@@ -28,11 +28,16 @@ def line(text: Column, ts: Column, speaker: Column) -> Column:
     return F.concat(stamp, who, text)
 
 
+def within_budget(rows: DataFrame, by: str, order: str, text: str, budget: int = BUDGET) -> DataFrame:
+    """Rows with their estimated tokens and the sum so far, up to the first that passes the budget."""
+    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("tokens", estimated_tokens(F.col(text))).withColumn("used", F.sum("tokens").over(w)).where(F.col("used") <= budget)
+
+
 def synthesize(results: DataFrame, mode: str = "relevance", budget: int = BUDGET) -> DataFrame:
     """query_id, context: lines in order up to the budget; the first that passes it ends the context."""
     rows = ordered(results, mode).withColumn("line", line(F.col("memory"), F.col("created_at"), F.col("speaker")))
-    w = Window.partitionBy("query_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    kept = rows.withColumn("used", F.sum(estimated_tokens(F.col("line"))).over(w)).where(F.col("used") <= budget)
+    kept = within_budget(rows, "query_id", "position", "line", budget)
     return kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("context"))
 
 

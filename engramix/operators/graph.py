@@ -105,6 +105,26 @@ def triple_text(head: Column, relation: Column, tail: Column) -> Column:
     return F.concat_ws(" ", head, relation, tail)
 
 
+def near_edges(links: DataFrame, edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """query_id, scope, text: the texts that a path search of so many hops can ask for.
+
+    The sentences of the starts, and the triples of all edges that touch a node fewer than ``hops`` steps away.
+    """
+    begun = starts.select("query_id", "scope", "name").distinct()
+    ends = undirected(edges)
+    reached = materialize(begun, "reached")
+    front = reached
+    for _ in range(hops - 1):
+        step = front.join(ends, ["scope", "name"]).select("query_id", "scope", F.col("neighbour").alias("name")).distinct()
+        front = materialize(step.join(reached, ["query_id", "scope", "name"], "left_anti"), "reached-step")
+        reached = materialize(reached.unionByName(front), "reached")
+    text = triple_text(F.col("head"), F.coalesce("type", F.lit("related")), F.col("tail")).alias("text")
+    told = edges.select("scope", F.col("head").alias("name"), text).unionByName(edges.select("scope", F.col("tail").alias("name"), text))
+    of_edges = reached.join(told.distinct(), ["scope", "name"]).select("query_id", "scope", "text")
+    of_links = begun.join(links, ["scope", "name"]).select("query_id", "scope", F.col("sentence_id").alias("text"))
+    return of_edges.unionByName(of_links).distinct()
+
+
 def path_search(links: DataFrame, edges: DataFrame, starts: DataFrame, sims: DataFrame, hops: int = 3, tolerance: int = 2, threshold: float = 0.3, most: int = 300) -> DataFrame:
     """query_id, start, path, sentences, path_score, triples: paths whose triples resemble the query.
 

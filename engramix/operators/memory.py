@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +21,9 @@ from engramix.operators.filters import compile_filter
 from engramix.providers import Embedder, Extractor, HashedEmbedder, OverlapReranker, Reranker, RuleExtractor, embed, entities, lemmas, logits
 from engramix.storage import TableStore, materialize
 
+#: What adding returns.
+ADDED = f"id string, memory string, event string, entities array<{sc.ENTITY}>, speaker string, created_at string"
+
 
 def nearest_entities(existing: DataFrame, new: DataFrame, least: float = 0.95, scoped: bool = False) -> DataFrame:
     """query_id, id, score, linked: the nearest existing entity of each new one, linked if it is near enough."""
@@ -86,6 +91,12 @@ def materialize_scoped(ids: DataFrame, memories: DataFrame) -> DataFrame:
     return wanted.join(memories, ["id", "scope"], "left").withColumn("found", F.col("data").isNotNull())
 
 
+def with_neighbours(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Rows with the ids before and after them in their batch."""
+    w = Window.partitionBy(*by).orderBy(order)
+    return rows.withColumn("prev_id", F.lag("id").over(w)).withColumn("next_id", F.lead("id").over(w))
+
+
 class MemoryEngine:
     """Memories, graph, entity index and history of all scopes below one folder.
 
@@ -114,11 +125,20 @@ class MemoryEngine:
         df = self.spark.createDataFrame(rows, "user_id string, agent_id string, run_id string, actor_id string, msg_seq bigint, role string, content string, ts timestamp")
         return self.add_batch(df, infer=infer, metadata=metadata)
 
-    def add_batch(self, messages: DataFrame, infer: bool = True, metadata: dict | None = None) -> DataFrame:
-        """Messages of any number of scopes (user_id, agent_id, run_id, actor_id, msg_seq, role, content, ts)."""
+    def add_batch(self, messages: DataFrame, infer: bool = True, metadata: dict | None = None, batch_key: str | None = None) -> DataFrame:
+        """Messages of any number of scopes (user_id, agent_id, run_id, actor_id, msg_seq, role, content, ts).
+
+        Ids are new with every call. A batch with a key (letters and digits) counts once: run again after a
+        failure it replaces what it had written, and after a success it changes nothing and returns no rows.
+        """
+        key = batch_key or uuid.uuid4().hex
+        with self.store.batch(key) if batch_key else contextlib.nullcontext(True) as new:
+            return self._add(messages, infer, metadata, key) if new else self.spark.createDataFrame([], ADDED)
+
+    def _add(self, messages: DataFrame, infer: bool, metadata: dict | None, key: str) -> DataFrame:
         o = self.options
         m = messages.withColumn("scope", sc.scope_column()).where("role <> 'system'")
-        batch = F.md5(F.to_json(F.struct("scope", F.lit(len(self.store.versions("memories"))))))
+        batch = F.md5(F.to_json(F.struct("scope", F.lit(key))))
         m = materialize(m.withColumn("batch_id", batch), "messages")
         if infer:
             sentences = un.segment(un.raw_sentences(m)) if o.segmentation_strategy == "nlp" else un.raw_sentences(m)
@@ -130,8 +150,7 @@ class MemoryEngine:
         known = self.table("memories")
         fresh = dedupe_new(rows, known.select("scope", "hash"), o.dedup_across_scopes) if o.use_dedup else rows
         fresh = fresh.withColumn("id", nm.content_id(F.col("scope"), F.col("text"), F.col("seq").cast("string"), F.col("batch_id")))
-        w = Window.partitionBy("scope", "batch_id").orderBy("seq")
-        fresh = fresh.withColumn("prev_id", F.lag("id").over(w)).withColumn("next_id", F.lead("id").over(w))
+        fresh = with_neighbours(fresh, ["scope", "batch_id"], "seq")
         stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
         named = F.transform(entities(F.col("text")), lambda e: F.struct(e["name"].alias("name"), F.lit(0.6).alias("attention_weight"), e["type"].alias("entity_type")))
         extra = F.create_map(*(F.lit(str(x)) for kv in metadata.items() for x in kv)) if metadata else F.create_map().cast("map<string,string>")
@@ -270,7 +289,8 @@ class MemoryEngine:
         # Each distinct text of a scope is embedded once and compared with that scope's questions.
         texts = edges.select("scope", gr.triple_text(F.col("head"), F.coalesce("type", F.lit("related")), F.col("tail")).alias("id")).distinct()
         told = embed(texts, "id", self.embedder).unionByName(memories.select("scope", "id", "vector").join(links.select(F.col("sentence_id").alias("id")).distinct(), "id", "left_semi").select("scope", "id", "vector"))
-        sims = planned.select("query_id", "scope", F.col("vector").alias("q")).join(told, "scope").select("query_id", F.col("id").alias("text"), nm.cosine(F.col("vector"), F.col("q")).alias("sim"))
+        told = rt.near_texts(gr.near_edges(links, edges, starts, o.max_hops), told)
+        sims = told.join(planned.select("query_id", F.col("vector").alias("q")), "query_id").select("query_id", F.col("id").alias("text"), nm.cosine(F.col("vector"), F.col("q")).alias("sim"))
         paths = gr.path_search(links, edges, starts, materialize(sims, "sims"), o.max_hops, o.tolerance, o.path_threshold, min(300, max(10 * k, 100)))
         paths = materialize(gr.complete_paths(paths, memories), "paths")
         graph = paths.select("query_id", F.element_at("sentences", -1).alias("id"), "path_score", F.size("path").alias("path_len"), "position")

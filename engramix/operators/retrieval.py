@@ -8,6 +8,7 @@ Arrow batches against blocks of queries of bounded size.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +18,15 @@ from pyspark.sql import functions as F
 
 from engramix.functions import numeric as nm
 from engramix.functions import text as tx
+from engramix.storage import materialize
 
+_WORDS = re.compile("[a-z0-9]+").findall
 #: Queries that meet the memories in one pass; larger sets are cut in blocks.
 QUERY_BLOCK = 4096
-#: The same for keyword search, where a block also has a column of weights for each query.
-TERM_BLOCK = 256
+#: The same for keyword search, where a block also has a column of weights for each query; blocks of one pass.
+TERM_BLOCK, TERM_BLOCKS = 256, 16
+#: Scores that a task computes at a time.
+SCORES = 1 << 20
 
 
 def ranked(df: DataFrame, k: int | Column, key: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
@@ -30,11 +35,50 @@ def ranked(df: DataFrame, k: int | Column, key: str = "query_id", score: str = "
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class Best:
+    """The k best of each query among what a task has seen; scores alike to nine places go by id."""
+
+    def __init__(self, k: int, queries: int):
+        self.k, self.least = k, np.full(queries, -0.5)
+        self.held = pd.DataFrame({"q": np.zeros(0, np.int64), "id": [], "score": np.zeros(0)})
+        self.new: list[pd.DataFrame] = []
+        self.waiting = 0
+
+    def add(self, score: np.ndarray, ids: list) -> None:
+        """Scores (memories x queries); below 0: not to be taken."""
+        least = self.least
+        if len(score) > self.k > 0:
+            least = np.maximum(least, np.partition(score, len(score) - self.k, axis=0)[len(score) - self.k] - 1e-8)
+        i, q = np.nonzero((score >= least[None, :]) & (score >= 0))
+        if len(i):
+            self.new.append(pd.DataFrame({"q": q, "id": [ids[x] for x in i.tolist()], "score": score[i, q]}))
+            self.waiting += len(i)
+        if self.waiting > max(4 * self.k * len(self.least), SCORES // 4):
+            self.settle()
+
+    def settle(self) -> None:
+        if self.new:
+            every = pd.concat([x for x in (self.held, *self.new) if len(x)])
+            every["near"] = every["score"].round(9)
+            self.held = every.sort_values(["q", "near", "id"], ascending=[True, False, True]).groupby("q").head(self.k).drop(columns="near")
+            full = self.held.groupby("q")["score"].agg(["size", "min"])
+            full = full[full["size"] >= self.k]
+            self.least[full.index] = full["min"] - 1e-8
+        self.new, self.waiting = [], 0
+
+    def frames(self, names: list) -> Iterator[pd.DataFrame]:
+        self.settle()
+        for first in range(0, len(self.held), 10_000):
+            part = self.held.iloc[first : first + 10_000]
+            yield pd.DataFrame({"query_id": [names[q] for q in part["q"]], "id": part["id"].tolist(), "score": part["score"].to_numpy()})
+
+
 def vector_topk(memories: DataFrame, queries: DataFrame, k: int, scoped: bool = False, exclude_self: bool = False) -> DataFrame:
     """query_id, id, score, rank: exact cosine of memories (id, scope, vector) and queries (query_id, scope, vector).
 
-    Every Arrow batch keeps its own k best of each query before anything is shuffled, so
-    what moves is k rows for each query and batch, however many memories there are.
+    A task keeps the k best of each query over all its memories and passes them on at its
+    end, so what moves is k rows for each query and task. Scores are computed for as many
+    memories at a time as fit a matrix of bounded size.
     """
     spark = memories.sparkSession
     id_kind, query_kind = (df.schema[c].dataType.simpleString() for df, c in ((memories, "id"), (queries, "query_id")))
@@ -50,26 +94,25 @@ def vector_topk(memories: DataFrame, queries: DataFrame, k: int, scoped: bool =
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             ids, scopes, q, qn = shared.value
+            top = Best(k, len(ids))
+            code = {x: i for i, x in enumerate(dict.fromkeys(scopes))}
+            wanted = np.array([code[x] for x in scopes], np.int64)
+            step = max(1, SCORES // max(1, len(ids)))
             for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                m = np.stack(batch["vector"].map(np.asarray)).astype(np.float64)
-                score = np.clip(m @ q.T / (np.sqrt((m**2).sum(axis=1))[:, None] * qn[None, :] + 1e-8), 0, 1)
-                own, own_scope = batch["id"].tolist(), batch["scope"].to_numpy()
-                rows = []
-                for j, query in enumerate(ids):
-                    s = score[:, j]
-                    ok = np.ones(len(s), bool)
+                for first in range(0, len(batch) if len(ids) else 0, step):
+                    some = batch.iloc[first : first + step]
+                    m = np.stack(some["vector"].map(np.asarray)).astype(np.float64)
+                    score = np.clip(m @ q.T / (np.sqrt((m**2).sum(axis=1))[:, None] * qn[None, :] + 1e-8), 0, 1)
                     if scoped:
-                        ok &= own_scope == scopes[j]
+                        score[np.array([code.get(x, -1) for x in some["scope"]], np.int64)[:, None] != wanted[None, :]] = -1
+                    own = some["id"].tolist()
                     if exclude_self:
-                        ok &= batch["id"].to_numpy() != query
-                    at = np.flatnonzero(ok)
-                    if len(at) > k:
-                        least = np.partition(s[at], len(at) - k)[len(at) - k]
-                        at = at[s[at] >= least]  # ties stay for the final order
-                    rows += [(query, own[i], float(s[i])) for i in at.tolist()]
-                yield pd.DataFrame(rows, columns=["query_id", "id", "score"])
+                        place = {x: i for i, x in enumerate(own)}
+                        for j, x in enumerate(ids):
+                            if x in place:
+                                score[place[x], j] = -1
+                    top.add(score, own)
+            yield from top.frames(ids)
 
         out = memories.select("id", "scope", "vector").where("vector is not null").mapInPandas(best, f"query_id {query_kind}, id {id_kind}, score double")
         found = out if found is None else found.unionByName(out)
@@ -104,59 +147,84 @@ def bm25(memories: DataFrame, queries: DataFrame, text: str = "text", k1: float
 def bm25_topk(memories: DataFrame, queries: DataFrame, k: int, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, score, rank: the k best of ``bm25`` for each query.
 
-    Document frequencies of the query terms are one small aggregate. Scores come from a
-    product of term and query matrices for each Arrow batch, and a batch passes on its own
-    k best, so common terms don't multiply postings by queries.
+    One pass splits the texts and keeps the terms that the queries have; document
+    frequencies and scores come from what it wrote. Scores are products of term and query
+    matrices of bounded size, and a task passes on its own k best, so common terms don't
+    multiply postings by queries.
     """
     spark = memories.sparkSession
     id_kind, query_kind = (df.schema[c].dataType.simpleString() for df, c in ((memories, "id"), (queries, "query_id")))
-    terms = memories.select("id", tx.raw_tokens(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     wanted = queries.select("query_id", F.array_distinct(tx.raw_tokens(F.coalesce(F.col("text"), F.lit("")))).alias("wanted"))
-    n, mean = terms.agg(F.count("*"), F.avg(F.size("terms"))).first()
-    vocabulary = wanted.select(F.explode("wanted").alias("term")).distinct()
-    df = terms.select(F.explode(F.array_distinct("terms")).alias("term")).join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df"))
-    blocks = -(-queries.count() // TERM_BLOCK)
+    blocks = max(1, -(-queries.count() // (TERM_BLOCK * TERM_BLOCKS)))
     found = None
-    for block in range(max(1, blocks)):
+    for block in range(blocks):
         part = wanted if blocks <= 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = part.collect()  # one block of the query set
-        own = {r["term"]: r["df"] for r in df.join(part.select(F.explode("wanted").alias("term")).distinct(), "term", "left_semi").collect()}
-        place = {t: i for i, t in enumerate(sorted(own))}
-        weights = np.zeros((len(place), len(rows)))
-        for j, r in enumerate(rows):
-            for t in r["wanted"]:
-                if t in place:
-                    weights[place[t], j] = np.log(1 + (n - own[t] + 0.5) / (own[t] + 0.5))
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], place, weights, float(mean or 0)))
+        rows = part.collect()  # a block of the query set
+        vocabulary = sorted({t for r in rows for t in r["wanted"]})
+        number = spark.sparkContext.broadcast({t: i for i, t in enumerate(vocabulary)})  # of a block of the query set
+
+        def matched(batches: Iterator[pd.DataFrame], number=number) -> Iterator[pd.DataFrame]:
+            known = number.value.get
+            for batch in batches:
+                lengths, places, counts = [], [], []
+                for text_ in batch["text"]:
+                    words = _WORDS(text_.lower())
+                    lengths.append(len(words))
+                    at, tf = np.unique(np.array([x for x in map(known, words) if x is not None], np.int32), return_counts=True)
+                    places.append(at), counts.append(tf.astype(np.int32))
+                yield pd.DataFrame({"id": batch["id"], "length": lengths, "places": places, "counts": counts})
+
+        # The texts are split once: frequencies, lengths and scores all come from the terms that the queries have.
+        held = materialize(memories.select("id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(matched, f"id {id_kind}, length bigint, places array<int>, counts array<int>"), "matched-terms")
+        n, mean = held.agg(F.count("*"), F.avg("length")).first()
+        df = np.zeros(len(vocabulary))
+        for r in held.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("df")).collect():  # a row for each term of the block
+            df[r["place"]] = r["df"]
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        groups = []
+        place_of = {t: i for i, t in enumerate(vocabulary)}
+        for first in range(0, len(rows), TERM_BLOCK):
+            some = rows[first : first + TERM_BLOCK]
+            own = sorted({place_of[t] for r in some for t in r["wanted"] if df[place_of[t]]})
+            local = {p: i for i, p in enumerate(own)}
+            weights = np.zeros((len(own), len(some)))
+            for j, r in enumerate(some):
+                for t in r["wanted"]:
+                    if (p := place_of[t]) in local:
+                        weights[local[p], j] = idf[p]
+            groups.append(([r["query_id"] for r in some], np.array(own, np.int64), weights))
+        shared = spark.sparkContext.broadcast((groups, float(mean or 0)))
 
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, numbers, w, average = shared.value
-            step = max(1, (1 << 21) // max(1, len(numbers), len(names)))
+            groups, average = shared.value
+            tops = [Best(k, len(names)) for names, _, _ in groups]
             for batch in batches:
-                out = []
-                for first in range(0, len(batch) if len(numbers) else 0, step):
-                    some = batch.iloc[first : first + step]
-                    tf = np.zeros((len(some), len(numbers)))
-                    length = np.zeros(len(some))
-                    for i, found_terms in enumerate(some["terms"]):
-                        length[i] = len(found_terms)
-                        at = [x for x in map(numbers.get, found_terms) if x is not None]
-                        np.add.at(tf[i], at, 1)
-                    score = (tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / average))[:, None] + 1e-300)) @ w
-                    own_ids = some["id"].to_numpy()
-                    for j, query in enumerate(names):
-                        at = np.flatnonzero(score[:, j] > 0)
-                        if len(at) > k:
-                            # A little slack keeps what rounding could call a tie.
-                            at = at[score[at, j] >= np.partition(score[at, j], len(at) - k)[len(at) - k] - 1e-5]
-                        out += zip([query] * len(at), own_ids[at].tolist(), score[at, j].tolist(), strict=True)
-                yield pd.DataFrame(out, columns=["query_id", "id", "score"])
-
-        scored = terms.mapInPandas(best, f"query_id {query_kind}, id {id_kind}, score double")
+                for (names, own, w), top in zip(groups, tops, strict=True):
+                    step = max(1, SCORES // max(1, len(own), len(names)))
+                    for first in range(0, len(batch) if len(own) else 0, step):
+                        some = batch.iloc[first : first + step]
+                        sizes = np.array([len(p) for p in some["places"]])
+                        flat = np.concatenate(list(some["places"])).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+                        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                        ok = own[at] == flat
+                        tf = np.zeros((len(some), len(own)))
+                        tf[np.repeat(np.arange(len(some)), sizes)[ok], at[ok]] = np.concatenate(list(some["counts"]))[ok] if sizes.sum() else 0
+                        length = some["length"].to_numpy(float)
+                        score = (tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / average))[:, None] + 1e-300)) @ w
+                        top.add(np.where(score > 0, np.round(score, 6), -1), some["id"].tolist())
+            for (names, _, _), top in zip(groups, tops, strict=True):
+                yield from top.frames(names)
+
+        scored = held.mapInPandas(best, f"query_id {query_kind}, id {id_kind}, score double")
         found = scored if found is None else found.unionByName(scored)
     return ranked(found.withColumn("score", F.round("score", 6)), k)
 
 
+def near_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """query_id, id, vector of the texts (scope, id, vector) that a question's search can ask for (query_id, scope, text)."""
+    return wanted.withColumnRenamed("text", "id").join(texts, ["scope", "id"]).select("query_id", "id", "vector")
+
+
 def entity_boosts(query_entities: DataFrame, entities: DataFrame, weight: float = 0.5, least: float = 0.5, most_entities: int = 8, most_matches: int = 500) -> DataFrame:
     """query_id, id, boost: the best attenuated similarity over the entities that a memory is linked to.
 
@@ -214,17 +282,24 @@ def with_fallback(merged: DataFrame, pool: DataFrame, limit: int) -> DataFrame:
 
 
 def adjust(df: DataFrame) -> DataFrame:
-    """Scores of (query, memory, created_at, time_constraints, score) by evidence, length and time."""
+    """Scores of (query, memory, created_at, time_constraints, score) by evidence, length and time.
+
+    Where the words are there already (query_tokens, memory_tokens), the texts aren't split again.
+    """
     from engramix.functions.classify import time_match
 
-    cover = tx.coverage(tx.content_tokens(F.col("query")), tx.content_tokens(F.col("memory")))
+    given = {"query_tokens", "memory_tokens"} <= set(df.columns)
+    if not given:
+        df = df.withColumns({"query_tokens": tx.content_tokens(F.col("query")), "memory_tokens": tx.content_tokens(F.col("memory"))})
+    cover = tx.coverage(F.col("query_tokens"), F.col("memory_tokens"))
     dated = tx.has_date_word(F.col("memory")) | tx.has_date_word(F.coalesce("created_at", F.lit("")))
     cue = F.when(tx.is_temporal(F.col("query")) & dated, 1.0).otherwise(0.0)
     evidence = tx.evidence_score(cover, cue)
     timely = F.when(F.size("time_constraints") == 0, 0.0).when(time_match(F.col("time_constraints"), F.col("memory"), F.col("created_at")), 0.08).otherwise(-0.30)
     s = F.col("score")
     adjusted = F.greatest(F.lit(0.0), s + 0.10 * s * evidence - s * tx.length_penalty(F.col("memory")) + s * timely)
-    return df.withColumns({"query_coverage": cover, "temporal_cue": cue, "evidence_score": evidence, "score": adjusted})
+    out = df.withColumns({"query_coverage": cover, "temporal_cue": cue, "evidence_score": evidence, "score": adjusted})
+    return out if given else out.drop("query_tokens", "memory_tokens")
 
 
 def rerank(df: DataFrame, logit: str = "logit") -> DataFrame:

@@ -1,14 +1,13 @@
 """From messages to sentences, evidence units, facts and triples.
 
-Splitting and validation are expressions; the three steps that depend on what was
-accepted before them (merging short sentences, taking units in order, halving replies)
-run on one batch of messages at a time, which an ``add`` bounds.
+Splitting and validation are expressions; the steps that depend on what was accepted
+before them (merging short sentences, taking units in order, halving replies) run on
+one batch of messages at a time, which an ``add`` bounds.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,39 +29,32 @@ def raw_sentences(messages: DataFrame) -> DataFrame:
     return parts.withColumn("idx", (F.row_number().over(w) - 1).cast("int")).select("scope", "batch_id", "idx", "text", F.col("role").alias("speaker"), "ts")
 
 
-_VERB = re.compile(r"is|are|was|were|have|has|had|do|does|did|will|would|can|could|should|may|might|\w(?:ed|ing)\b", re.I)
-
-
-def complete(text: str) -> bool:
-    """Two words and something like a verb."""
-    return len(text.split()) >= 2 and bool(_VERB.search(text))
-
-
-def cut(text: str) -> list[str]:
-    """A long sentence at commas and semicolons that don't follow a digit, or else after conjunctions."""
-    parts = re.split(r"(?<=[^0-9])[,;](?=\s+\w)", text)
-    if len(parts) == 1:
-        bits = re.split(r"\s+(and|but|or|however|therefore|moreover|meanwhile)\s+", text, flags=re.I)
-        parts = [" ".join(bits[i : i + 2]) for i in range(0, len(bits), 2)]
-    return [p.strip() for p in parts if p.strip()]
-
-
 def segment(sentences: DataFrame) -> DataFrame:
-    """Short or verbless sentences joined with the next of the same speaker, long ones cut."""
+    """Short or verbless sentences joined with the next of the same speaker, long ones cut.
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        held: list[list] = []
-        for r in group.sort_values("idx").itertuples():
-            if held and (len(held[-1][0]) < SHORTEST or not complete(held[-1][0])) and held[-1][1] == r.speaker:
-                held[-1][0] += " " + r.text
+    Whether a joined text is long enough, has two words and a verb follows from what its sentences have, so that is
+    worked out for each sentence first; only the scan that gives a sentence the number of its text sees them in order.
+    """
+    told = sentences.select("scope", "batch_id", "idx", "text", "speaker", "ts", F.length("text").alias("size"), tx.n_words(F.col("text")).alias("words"), F.col("text").rlike(tx.VERB).alias("verb"))
+    kinds = {f.name: f.dataType.simpleString() for f in told.schema}
+
+    def numbered(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = batch.sort_values("idx")
+        number, size, words, verb, who, out = -1, 0, 0, False, None, []
+        for r in rows.itertuples():
+            if number >= 0 and who == r.speaker and (size < SHORTEST or words < 2 or not verb):
+                size, words, verb = size + 1 + r.size, words + r.words, verb or r.verb
             else:
-                held.append([r.text, r.speaker, r.ts])
-        rows = [(p, s, t) for text, s, t in held for p in (cut(text) if len(text) > LONGEST else [text])]
-        first = group.iloc[0]
-        return pd.DataFrame([(first["scope"], first["batch_id"], i, *r) for i, r in enumerate(rows)], columns=["scope", "batch_id", "idx", "text", "speaker", "ts"])
+                number, size, words, verb, who = number + 1, r.size, r.words, r.verb, r.speaker
+            out.append(number)
+        return rows[["scope", "batch_id", "idx", "text", "speaker", "ts"]].assign(number=out)
 
-    schema = sentences.select("scope", "batch_id", "idx", "text", "speaker", "ts").schema
-    return sentences.select(*schema.names).groupBy("scope", "batch_id").applyInPandas(fold, schema)
+    schema = ", ".join(f"{n} {kinds[n]}" for n in ("scope", "batch_id", "idx", "text", "speaker", "ts")) + ", number bigint"
+    joined = told.groupBy("scope", "batch_id").applyInPandas(numbered, schema).groupBy("scope", "batch_id", "number").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "speaker", "ts"))).alias("x"))
+    whole = joined.select("scope", "batch_id", "number", F.array_join("x.text", " ").alias("text"), F.col("x")[0]["speaker"].alias("speaker"), F.col("x")[0]["ts"].alias("ts"))
+    parts = whole.select("scope", "batch_id", "number", "speaker", "ts", F.posexplode(F.when(F.length("text") > LONGEST, tx.clauses(F.col("text"))).otherwise(F.array("text"))).alias("part", "text"))
+    w = Window.partitionBy("scope", "batch_id").orderBy("number", "part")
+    return parts.select("scope", "batch_id", (F.row_number().over(w) - 1).cast("int").alias("idx"), "text", "speaker", "ts")
 
 
 UNIT = "scope string, batch_id string, position int, text string, speaker string, ts timestamp, source_sentence_ids array<string>, source_texts array<string>, merge_reason string, confidence double, fallback boolean"
@@ -74,51 +66,42 @@ def raw_units(sentences: DataFrame) -> DataFrame:
     return sentences.select("scope", F.col("batch_id").cast("string").alias("batch_id"), F.col("idx").alias("position"), "text", "speaker", "ts", F.array(sid).alias("source_sentence_ids"), F.array("text").alias("source_texts"), F.lit("").alias("merge_reason"), F.lit(1.0).alias("confidence"), F.lit(True).alias("fallback"))
 
 
-def bound(text: str, source: str) -> bool:
-    words = lambda t: [w for w in re.findall(r"[A-Za-z0-9']+", t.lower()) if len(w) > 1 and w not in tx.UNIT_STOPWORDS]
-    own, there = set(words(text)), words(source)
-    if len(text) > max(2 * len(source) + 120, 240):
-        return False
-    return len(there) < 4 or sum(w in own for w in there) >= 0.45 * len(there)
+PROPOSED = "struct<source_sentence_ids:string,text:string,confidence:string,merge_reason:string>"
 
 
 def accept_units(sentences: DataFrame, replies: DataFrame) -> DataFrame:
-    """Units proposed by a model (scope, batch_id, reply) that are known, unused, contiguous and bound to their sources; every other sentence is a unit of its own."""
-    joined = sentences.select("scope", F.col("batch_id").cast("string").alias("batch_id"), "idx", "text", "speaker", "ts").join(replies.select("scope", F.col("batch_id").cast("string").alias("batch_id"), "reply"), ["scope", "batch_id"], "left")
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("idx").reset_index(drop=True)
-        place = {f"s{i}": k for k, i in enumerate(group["idx"])}
-        reply = group["reply"].iloc[0]
-        try:
-            proposed = json.loads(reply)["units"] if isinstance(reply, str) else []
-        except (ValueError, KeyError, TypeError):
-            proposed = []
-        used: set[int] = set()
-        rows = []
-        for unit in proposed if isinstance(proposed, list) else []:
-            ids = unit.get("source_sentence_ids") if isinstance(unit, dict) else None
-            ids = [str(i).strip() for i in ([ids] if isinstance(ids, str) else ids if isinstance(ids, list) else [])]
-            at = [place.get(i, -1) for i in ids if i]
-            text = str(unit.get("text") or "").strip() if isinstance(unit, dict) else ""
-            if not at or min(at) < 0 or used & set(at) or at != list(range(at[0], at[0] + len(at))) or not text:
-                continue
-            part = group.iloc[at]
-            if not bound(text, " ".join(part["text"])):
-                continue
-            used.update(at)
-            try:
-                sure = min(1.0, max(0.0, float(unit.get("confidence", 1.0))))
-            except (TypeError, ValueError):
-                sure = 1.0
-            speakers = set(part["speaker"])
-            rows.append((at[0], text, speakers.pop() if len(speakers) == 1 else "mixed", part["ts"].iloc[0], [f"s{i}" for i in part["idx"]], list(part["text"]), str(unit.get("merge_reason") or "").strip(), sure, False))
-        rows += [(k, r.text, r.speaker, r.ts, [f"s{r.idx}"], [r.text], "", 1.0, True) for k, r in enumerate(group.itertuples()) if k not in used]
-        rows.sort(key=lambda r: r[0])
-        first = group.iloc[0]
-        return pd.DataFrame([(first["scope"], first["batch_id"], i, *r[1:]) for i, r in enumerate(rows)], columns=["scope", "batch_id", "position", "text", "speaker", "ts", "source_sentence_ids", "source_texts", "merge_reason", "confidence", "fallback"])
-
-    return joined.groupBy("scope", "batch_id").applyInPandas(take, UNIT)
+    """Units proposed by a model (scope, batch_id, reply) that are known, unused, contiguous and bound to their sources; every other sentence is a unit of its own.
+
+    Proposals are exploded and validated each for itself; what is left is taken in order, unless a sentence of it is
+    taken already (a fold over the short list of valid proposals of a batch).
+    """
+    key = ["scope", "batch_id"]
+    own = sentences.select("scope", F.col("batch_id").cast("string").alias("batch_id"), "idx", "text", "speaker", "ts")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("idx")).alias("place")
+    own = own.select("*", F.concat(F.lit("s"), F.col("idx").cast("string")).alias("sid"), place)
+    items = F.from_json(F.get_json_object("reply", "$.units"), "array<string>")
+    told = replies.select("scope", F.col("batch_id").cast("string").alias("batch_id"), F.posexplode(items).alias("n", "raw")).withColumn("u", F.from_json("raw", PROPOSED))
+    raw_ids = F.col("u.source_sentence_ids")
+    ids = F.when(F.ltrim(raw_ids).startswith("["), F.from_json(raw_ids, "array<string>")).otherwise(F.array(raw_ids))
+    ids = F.filter(F.transform(ids, lambda i: F.trim(i)), lambda i: i.isNotNull() & (i != ""))
+    sure = F.coalesce(F.col("u.confidence").try_cast("double"), F.lit(1.0))
+    told = told.select(*key, "n", ids.alias("ids"), F.trim(F.coalesce("u.text", F.lit(""))).alias("unit"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), sure)).alias("sure"), F.trim(F.coalesce("u.merge_reason", F.lit(""))).alias("reason")).where("unit <> '' and size(ids) > 0")
+    met = told.select(*key, "n", "unit", "sure", "reason", F.size("ids").alias("size"), F.posexplode("ids").alias("at", "sid")).join(own, [*key, "sid"])
+    made = met.groupBy(*key, "n", "unit", "sure", "reason", "size").agg(F.array_sort(F.collect_list(F.struct("at", "place", "sid", "text", "speaker", "ts"))).alias("x"))
+    one_run = F.forall("x", lambda e: e["place"] - e["at"] == F.col("x")[0]["place"])
+    made = made.where((F.size("x") == F.col("size")) & one_run).where(tx.source_bound(F.col("unit"), F.array_join("x.text", " ")))
+    made = made.select(*key, F.struct("n", F.transform("x", lambda e: e["place"]).alias("places"), "unit", "sure", "reason", F.transform("x", lambda e: e["sid"]).alias("sids"), F.transform("x", lambda e: e["text"]).alias("texts"), F.transform("x", lambda e: e["speaker"]).alias("speakers"), F.col("x")[0]["ts"].alias("ts")).alias("p"))
+    listed = made.groupBy(*key).agg(F.array_sort(F.collect_list("p")).alias("p"))
+    kind = made.schema["p"].dataType.simpleString()
+    taken = F.aggregate("p", F.array().cast(f"array<{kind}>"), lambda done, p: F.when(F.arrays_overlap(F.flatten(F.transform(done, lambda d: d["places"])), p["places"]), done).otherwise(F.concat(done, F.array(p))))
+    chosen = listed.select(*key, F.explode(taken).alias("p"))
+    speaker = F.when(F.size(F.array_distinct("p.speakers")) == 1, F.col("p.speakers")[0]).otherwise("mixed")
+    merged = chosen.select(*key, F.col("p.places")[0].alias("first"), F.col("p.unit").alias("text"), speaker.alias("speaker"), "p.ts", F.col("p.sids").alias("source_sentence_ids"), F.col("p.texts").alias("source_texts"), F.col("p.reason").alias("merge_reason"), F.col("p.sure").alias("confidence"), F.lit(False).alias("fallback"))
+    rest = own.join(chosen.select(*key, F.explode("p.places").alias("place")), [*key, "place"], "left_anti")
+    alone = rest.select(*key, F.col("place").alias("first"), "text", "speaker", "ts", F.array("sid").alias("source_sentence_ids"), F.array("text").alias("source_texts"), F.lit("").alias("merge_reason"), F.lit(1.0).alias("confidence"), F.lit(True).alias("fallback"))
+    w = Window.partitionBy(*key).orderBy("first")
+    rows = merged.unionByName(alone).withColumn("position", (F.row_number().over(w) - 1).cast("int"))
+    return rows.select(*(c.split()[0] for c in UNIT.split(", ")))
 
 
 FACT = "struct<fact_id:string,fact:string,source_sentence_id:string,source_sentence_ids:array<string>,confidence:double>"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,9 +49,9 @@ class RunCatalog:
 
     def upsert_template(self, row: dict) -> None:
         names = [c.split()[0] for c in TEMPLATES.split(", ")]
-        self.store.append("templates", self.store.spark.createDataFrame([tuple(row.get(n) for n in names)], TEMPLATES))
+        self.store.append("templates", self.store.spark.createDataFrame([(*(row.get(n) for n in names), time.time_ns())], f"{TEMPLATES}, written bigint"))
 
     def templates(self) -> DataFrame:
-        """The latest of each id."""
-        w = Window.partitionBy("id").orderBy(F.desc("updated_at"))
-        return self.store.read("templates", TEMPLATES).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+        """The latest of each id; of one second, the one that was written last."""
+        w = Window.partitionBy("id").orderBy(F.desc("updated_at"), F.desc("written"))
+        return self.store.read("templates", f"{TEMPLATES}, written bigint").withColumn("n", F.row_number().over(w)).where("n = 1").drop("n", "written")

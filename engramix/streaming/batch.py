@@ -26,3 +26,9 @@ def ring(rows: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
     """The last rows of each key."""
     w = Window.partitionBy(by).orderBy(*(F.desc(o) for o in order))
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= size).drop("_n")
+
+
+def preceding(rows: DataFrame, by: str, order: list[str], size: int, value: str) -> DataFrame:
+    """context: the values of the rows before each one, at most so many, in order."""
+    w = Window.partitionBy(by).orderBy(*order).rowsBetween(-size, -1)
+    return rows.withColumn("context", F.collect_list(value).over(w))

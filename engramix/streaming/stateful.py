@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,8 +86,17 @@ def maintained(store: TableStore) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def ingest(stream: DataFrame, engine, checkpoint: str):
-    """Messages into a memory engine; progress is the query's own checkpoint."""
-    return stream.writeStream.foreachBatch(lambda df, _: engine.add_batch(materialize(df, "micro-batch"))).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    """Messages into a memory engine; progress is the query's own checkpoint.
+
+    A micro-batch counts once: its key follows from the checkpoint and its number, so one that is run again
+    replaces what it had written, or does nothing if it had ended.
+    """
+    name = hashlib.md5(checkpoint.encode()).hexdigest()
+
+    def add(batch: DataFrame, number: int) -> None:
+        engine.add_batch(materialize(batch, "micro-batch"), batch_key=f"{name}b{number}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def windowed_counts(stream: DataFrame, event_time: str, size: str, slide: str, delay: str, by: str) -> DataFrame:
