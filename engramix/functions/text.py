@@ -64,7 +64,7 @@ def recall_tokens(text: Column) -> Column:
 def listed_tokens(text: Column, least: int, stopwords: list[str], pattern: str = "([a-z0-9]+)") -> Column:
     """Content words in order, repeats included."""
     found = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1))
-    return F.filter(found, lambda t: (F.length(t) >= least) & ~F.array_contains(strings(stopwords), t))
+    return F.filter(found, lambda t: (F.length(t) >= least) & ~t.isin(stopwords))
 
 
 def unit_tokens(text: Column) -> Column:
@@ -169,16 +169,33 @@ def sentences(text: Column) -> Column:
 VERB = "(?i)(is|are|was|were|have|has|had|do|does|did|will|would|can|could|should|may|might|[a-z0-9_](ed|ing)([^a-z0-9_]|$))"
 
 
+def n_words(text: Column) -> Column:
+    return F.size(F.filter(F.split(text, "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != ""))
+
+
 def complete(text: Column) -> Column:
     """Whether a sentence has two words and something like a verb."""
-    words = F.filter(F.split(text, "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != "")
-    return (F.size(words) >= 2) & text.rlike(VERB)
+    return (n_words(text) >= 2) & text.rlike(VERB)
+
+
+def clauses(text: Column) -> Column:
+    """Parts of a long sentence: at commas and semicolons that don't follow a digit, or, where there is none, after conjunctions."""
+    at_signs = F.split(text, "(?<=[^0-9])[,;](?=\\s+[\\p{L}\\p{N}_])")
+    after_words = F.split(F.regexp_replace(text, "(?i)\\s+(and|but|or|however|therefore|moreover|meanwhile)\\s+", " $1\u0001"), "\u0001")
+    parts = F.when(F.size(at_signs) > 1, at_signs).otherwise(after_words)
+    return F.filter(F.transform(parts, lambda s: F.regexp_replace(s, "^\\s+|\\s+$", "")), lambda s: s != "")
 
 
 def source_bound(text: Column, source: Column) -> Column:
-    """Whether a rewritten unit stays with its source: not much longer, and with 45 % of its words."""
+    """Whether a rewritten unit stays with its source: not much longer, and with 45 % of its words.
+
+    The words of both are sorted together, so that long texts take n log n and not every pair of words.
+    """
     own, words = unit_tokens(text), unit_tokens(source)
-    kept = F.size(F.filter(words, lambda w: F.array_contains(own, w)))
+    marked = F.sort_array(F.concat(F.transform(F.array_distinct(own), lambda w: F.struct(w.alias("w"), F.lit(0).alias("of"))), F.transform(words, lambda w: F.struct(w.alias("w"), F.lit(1).alias("of")))))
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"))
+    count = lambda s, x: F.struct(F.when(x["of"] == 0, x["w"]).otherwise(s["last"]).alias("last"), (s["n"] + F.when((x["of"] == 1) & (x["w"] == s["last"]), 1).otherwise(0)).alias("n"))
+    kept = F.aggregate(marked, start, count)["n"]
     short = F.length(text) <= F.greatest(2 * F.length(source) + 120, F.lit(240))
     return short & ((F.size(words) < 4) | (kept / F.greatest(F.lit(1), F.size(words)) >= 0.45))
 

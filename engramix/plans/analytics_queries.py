@@ -9,6 +9,7 @@ from engramix.functions import classify as cl
 from engramix.functions import numeric as nm
 from engramix.functions import text as tx
 from engramix.operators import analytics as an
+from engramix.sources import checkpoints as ck
 from engramix.plans.registry import ORACLE_SQL, Tables, query
 from engramix.plans.retrieval_queries import sql_raw, words
 
@@ -47,27 +48,20 @@ def nugget_scores(t: Tables) -> DataFrame:
     return an.nugget_scores(rows).withColumn("score", F.round("score", 6))
 
 
-@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events QUALIFY p <= 8),
+@query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
     r AS (SELECT user_id, event_id, p, CAST(rank() OVER (PARTITION BY user_id ORDER BY round(value / 20)) AS BIGINT) AS r FROM e),
     x AS (SELECT a.user_id, sign(a.p - b.p) AS dp, sign(a.r - b.r) AS dr FROM r a JOIN r b ON a.user_id = b.user_id AND a.event_id < b.event_id),
     s AS (SELECT user_id, sum(CASE WHEN dp * dr > 0 THEN 1 ELSE 0 END) AS c, sum(CASE WHEN dp * dr < 0 THEN 1 ELSE 0 END) AS d, sum(CASE WHEN dp = 0 AND dr <> 0 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN dr = 0 AND dp <> 0 THEN 1 ELSE 0 END) AS tr FROM x GROUP BY user_id),
     n AS (SELECT user_id, count(*) AS n FROM r GROUP BY user_id)
     SELECT n.user_id AS question_id, n, round(coalesce(CASE WHEN (c + d + tp) * (c + d + tr) > 0 THEN (c - d) / sqrt((c + d + tp) * (c + d + tr)) END, 0.0), 6) AS tau FROM n LEFT JOIN s ON s.user_id = n.user_id""")
 def kendall_tau(t: Tables) -> DataFrame:
-    """The first eight events of each user."""
-    return orders(t, 8)
-
-
-@query(ORACLE_SQL["kendall_tau"].replace(" QUALIFY p <= 8", ""))
-def kendall_tau_whole(t: Tables) -> DataFrame:
-    """All events of each user."""
+    """All events of each user, by time and by value."""
     return orders(t)
 
 
-def orders(t: Tables, most: int | None = None) -> DataFrame:
+def orders(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = t.events.withColumn("p", F.row_number().over(w))
-    e = e.where(F.col("p") <= most) if most else e
     r = e.withColumn("r", F.rank().over(Window.partitionBy("user_id").orderBy(F.round(F.col("value") / 20))))
     a = r.select(F.col("user_id").alias("question_id"), F.col("event_id").alias("item"), F.col("p").cast("long").alias("position"))
     b = r.select(F.col("user_id").alias("question_id"), F.col("event_id").alias("item"), F.col("r").cast("long").alias("position"))
@@ -91,7 +85,7 @@ def similarity_histogram(t: Tables) -> DataFrame:
     return an.histogram(t.events.select("event_type", ((F.col("event_id") % 1000) / 999.0).alias("s")), "s", "event_type").withColumn("density", F.round("density", 6))
 
 
-def evidence(t: Tables, most: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+def evidence(t: Tables, most: int = max(an.CUTOFFS)) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(questions, evidence, results): an item is a question and its own evidence; documents that share its rarer words are results."""
     from engramix.plans.retrieval_queries import doc_memories, items
     from engramix.operators import retrieval as rt
@@ -106,7 +100,7 @@ def _ev() -> str:
     from engramix.plans.retrieval_queries import BM25
 
     tok = lambda c: f"list_distinct(list_filter({sql_raw(c)}, lambda x: length(x) > 2))"
-    return f"""{BM25}, res AS (SELECT query_id AS question_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS rank FROM raw QUALIFY rank <= 50),
+    return f"""{BM25}, res AS (SELECT query_id AS question_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(bm25, 6) DESC, id) AS rank FROM raw QUALIFY rank <= 200),
     pr AS (SELECT question_id, rank, len(list_intersect({tok('b.text')}, {tok('d.text')})) / len({tok('b.text')}) AS rec FROM res JOIN benchmark b ON b.item_id = question_id JOIN documents d ON d.doc_id = id),
     bst AS (SELECT question_id, max(rec) AS rec, min_by(rank, struct_pack(a := -rec, b := rank)) AS rank FROM pr WHERE rec > 0 GROUP BY question_id),
     rk AS (SELECT item_id AS question_id, CASE WHEN rec >= 0.55 THEN rank END AS rank, round(coalesce(rec, 0), 4) AS recall FROM benchmark LEFT JOIN bst ON bst.question_id = item_id)"""
@@ -118,29 +112,12 @@ def evidence_rank(t: Tables) -> DataFrame:
     return an.best_match(e, r)
 
 
-@query(ORACLE_SQL["evidence_rank"].replace("QUALIFY rank <= 50)", "QUALIFY rank <= 200)"))
-def evidence_rank_whole(t: Tables) -> DataFrame:
-    """Among as many results as the largest cutoff."""
-    _, e, r = evidence(t, max(an.CUTOFFS))
-    return an.best_match(e, r)
-
-
 @query(f"""WITH {_ev()}, qq AS (SELECT question_id, CAST(question_id % 4 AS VARCHAR) AS category, k, CASE WHEN rank <= k THEN 1 ELSE 0 END AS h FROM rk, (VALUES (10), (20), (50), (200)) c(k))
     SELECT k, coalesce(category, 'all') AS category, count(*) AS question_total, CAST(sum(h) AS BIGINT) AS question_hits, count(*) AS evidence_total, CAST(sum(h) AS BIGINT) AS evidence_hits, round(sum(h) / count(*), 6) AS question_recall, round(sum(h) / count(*), 6) AS evidence_recall
     FROM qq GROUP BY GROUPING SETS ((k, category), (k))""")
 def recall_at_k(t: Tables) -> DataFrame:
-    """Of the first 50 results: the largest cutoff repeats the one before."""
-    return recalls(t, 50)
-
-
-@query(ORACLE_SQL["recall_at_k"].replace("QUALIFY rank <= 50)", "QUALIFY rank <= 200)"))
-def recall_at_k_whole(t: Tables) -> DataFrame:
     """Of as many results as the largest cutoff."""
-    return recalls(t, max(an.CUTOFFS))
-
-
-def recalls(t: Tables, most: int) -> DataFrame:
-    q, e, r = evidence(t, most)
+    q, e, r = evidence(t)
     out = an.recall_at_k(an.best_match(e, r), q)
     return out.select("k", F.coalesce("category", F.lit("all")).alias("category"), "question_total", "question_hits", "evidence_total", "evidence_hits", F.round("question_recall", 6).alias("question_recall"), F.round("evidence_recall", 6).alias("evidence_recall"))
 
@@ -229,12 +206,13 @@ def missing_questions(t: Tables) -> DataFrame:
 
 @query("""SELECT doc_id FROM labels WHERE doc_id % 2 = 0 INTERSECT SELECT doc_id FROM documents WHERE lang = 'en'""")
 def id_intersection(t: Tables) -> DataFrame:
-    return t.labels.where("doc_id % 2 = 0").select("doc_id").intersect(t.documents.where("lang = 'en'").select("doc_id"))
+    both, _ = an.aligned(t.labels.where("doc_id % 2 = 0").select("doc_id"), t.documents.where("lang = 'en'").select("doc_id"), "doc_id")
+    return both.distinct()
 
 
 @query("""SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels""")
 def id_difference(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id").subtract(t.labels.select("doc_id"))
+    return ck.remaining(t.documents.where("lang = 'en'").select("doc_id"), t.labels, ["doc_id"]).distinct()
 
 
 HAY = f"""h AS (SELECT b.item_id AS question_id, b.text AS answer, d.text AS retrieved, d.lang AS category FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 3),

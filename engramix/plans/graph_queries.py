@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engramix.operators import graph as gr
-from engramix.plans.registry import ORACLE_SQL, Tables, query
+from engramix.plans.registry import Tables, query
 from engramix.storage import materialize
 
 #: Confidence of an event's triple, and the triples themselves, in DuckDB.
@@ -119,22 +119,16 @@ def path_all_match(t: Tables) -> DataFrame:
     return gr.complete_paths(paths, e.where("value > 20").select(F.col("event_id").alias("id"))).select(F.col("position").alias("path"), F.size("sentences").cast("long").alias("n_sentences"))
 
 
-@query(f"""WITH {T}, q AS (SELECT scope, 'Q' || head || ' and ' || upper(tail) AS phrase, head, tail FROM t WHERE event_id % 97 = 0)
+@query(f"""WITH {T}, q AS (SELECT scope, 'Q' || head || ' and ' || upper(tail) AS phrase, head, tail FROM t)
     SELECT scope, name, round(max(CAST(w AS DOUBLE)), 6) AS weight FROM (SELECT scope, unnest([head, tail]) AS name, 0.6 AS w FROM q) x WHERE (scope, name) IN (SELECT (scope, name) FROM nodes) GROUP BY ALL""")
 def start_resolution(t: Tables) -> DataFrame:
-    """Names that are nodes, and phrases that only contain them: the phrase's words weigh 0.8. Every 97th event."""
-    return resolved(t, "seq % 97 = 0")
+    """Names that are nodes, and phrases that only contain them: the phrase's words weigh 0.8."""
+    return resolved(t)
 
 
-@query(ORACLE_SQL["start_resolution"].replace(" WHERE event_id % 97 = 0", ""))
-def start_resolution_whole(t: Tables) -> DataFrame:
-    """The names and phrases of all events."""
-    return resolved(t, "true")
-
-
-def resolved(t: Tables, which: str) -> DataFrame:
+def resolved(t: Tables) -> DataFrame:
     nodes, _, _ = graph(t)
-    q = triples(t).where(which)
+    q = triples(t)
     exact = q.select("scope", F.col("head").alias("name"), F.lit(0.6).alias("weight"))
     phrase = q.select("scope", F.concat_ws(" ", F.lit("with"), "tail").alias("name"), F.lit(0.75).alias("weight"))
     wanted = exact.unionByName(phrase).withColumn("query_id", F.col("scope"))

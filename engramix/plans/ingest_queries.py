@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engramix.functions import dates as da
 from engramix.functions import numeric as nm
 from engramix.functions import text as tx
+from engramix.operators import context as cx
 from engramix.operators import memory as me
 from engramix.operators import units as un
-from engramix.plans.registry import ORACLE_SQL, Tables, query
+from engramix.plans.registry import Tables, query
 from engramix.plans.retrieval_queries import words
+from engramix.sources import datasets as ds
+from engramix.streaming import batch as sb
 
 WS = "[ \\t\\n\\r\\f\\v]"
 SPLIT = f"""list_filter(list_transform(flatten(list_transform(string_split(regexp_replace(trim(text), '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_split_to_array(s, '\\n+'))), lambda s: regexp_replace(s, '^{WS}+|{WS}+$', '', 'g')), lambda s: s <> '')"""
@@ -37,32 +42,12 @@ def sentence_structure(t: Tables) -> DataFrame:
     return parts.groupBy("conv_id", "turn").agg(F.count("*").alias("n"), F.sum(F.when(tx.complete(F.col("sentence")), 1).otherwise(0)).cast("long").alias("complete"))
 
 
-@query()
-def sentence_merge(t: Tables) -> DataFrame:
-    """Sentences of each conversation, short ones joined with the next of the same speaker."""
-    return un.segment(un.raw_sentences(turns(t))).select("scope", "idx", "speaker", "text")
-
-
-@query()
-def evidence_units(t: Tables) -> DataFrame:
-    """Units from replies that merge the first two sentences of each conversation and propose a gap that must be refused."""
-    sentences = un.raw_sentences(turns(t))
-    first = sentences.where("idx < 2").groupBy("scope", "batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("text"))
-    unit = F.array(
-        F.struct(F.array(F.lit("s0"), F.lit("s1")).alias("source_sentence_ids"), F.col("text").alias("text"), F.lit(1.5).alias("confidence")),
-        F.struct(F.array(F.lit("s2"), F.lit("s4")).alias("source_sentence_ids"), F.lit("gap").alias("text"), F.lit(0.5).alias("confidence")),
-    )
-    replies = first.select("scope", "batch_id", F.to_json(F.struct(unit.alias("units"))).alias("reply"))
-    return un.accept_units(sentences, replies).select("scope", "position", "text", "speaker", F.array_join("source_sentence_ids", ",").alias("sources"), "confidence", "fallback")
-
-
-@query(f"""WITH p AS (SELECT a.doc_id, a.text AS src, substr(a.text, 1, CAST(length(a.text) * 0.7 AS BIGINT)) AS out FROM documents a WHERE n_chars < 2000),
+@query(f"""WITH p AS (SELECT a.doc_id, a.text AS src, substr(a.text, 1, CAST(length(a.text) * 0.7 AS BIGINT)) AS out FROM documents a),
     k AS (SELECT *, list_filter(regexp_extract_all(lower(src), '[A-Za-z0-9'']+'), lambda x: length(x) > 1 AND NOT list_contains({words(tx.UNIT_STOPWORDS)}, x)) AS sw,
                  list_filter(regexp_extract_all(lower(out), '[A-Za-z0-9'']+'), lambda x: length(x) > 1 AND NOT list_contains({words(tx.UNIT_STOPWORDS)}, x)) AS ow FROM p)
     SELECT doc_id, length(out) <= greatest(2 * length(src) + 120, 240) AND (len(sw) < 4 OR len(list_filter(sw, lambda x: list_contains(ow, x))) / greatest(1, len(sw)) >= 0.45) AS bound FROM k""")
 def source_bound(t: Tables) -> DataFrame:
-    """Documents of fewer than 2,000 characters."""
-    return bound(t.documents.where("n_chars < 2000"))
+    return bound(t.documents)
 
 
 def bound(docs: DataFrame) -> DataFrame:
@@ -70,12 +55,6 @@ def bound(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", tx.source_bound(F.col("out"), F.col("text")).alias("bound"))
 
 
-@query(ORACLE_SQL["source_bound"].replace(" WHERE n_chars < 2000", ""))
-def source_bound_whole(t: Tables) -> DataFrame:
-    """All documents, long ones and those of unknown length among them."""
-    return bound(t.documents)
-
-
 @query("SELECT md5(text) AS hash, min(doc_id) AS doc_id FROM documents WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 10 = 0) GROUP BY md5(text)")
 def hash_dedupe(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", F.md5("text").alias("hash"), F.lit("s").alias("scope"), F.col("doc_id").alias("seq"))
@@ -90,34 +69,31 @@ def hash_dedupe_scoped(t: Tables) -> DataFrame:
 
 @query("""SELECT conv_id, turn, lag(turn) OVER w AS prev_turn, lead(turn) OVER w AS next_turn FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def context_lag_lead(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t.conversations.where("role <> 'system'").select("conv_id", "turn", F.lag("turn").over(w).alias("prev_turn"), F.lead("turn").over(w).alias("next_turn"))
+    rows = t.conversations.where("role <> 'system'").select("conv_id", "turn", F.col("turn").alias("id"))
+    return me.with_neighbours(rows, ["conv_id"], "turn").select("conv_id", "turn", F.col("prev_id").alias("prev_turn"), F.col("next_id").alias("next_turn"))
 
 
 @query("""SELECT conv_id, turn, coalesce(string_agg(md5(text), ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), '') AS context FROM conversations""")
 def recent_context(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-4, -1)
-    return t.conversations.select("conv_id", "turn", F.array_join(F.collect_list(F.md5("text")).over(w), ",").alias("context"))
+    rows = sb.preceding(t.conversations.select("conv_id", "turn", F.md5("text").alias("digest")), "conv_id", ["turn"], 4, "digest")
+    return rows.select("conv_id", "turn", F.array_join("context", ",").alias("context"))
 
 
 @query("SELECT conv_id, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 AS BIGINT) AS chunk, turn FROM conversations")
 def fixed_chunks(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return t.conversations.select("conv_id", F.floor((F.row_number().over(w) - 1) / 2).cast("long").alias("chunk"), "turn")
+    return ds.chunks(t.conversations, ["conv_id"], ["turn"], 2).select("conv_id", F.col("chunk").cast("long").alias("chunk"), "turn")
 
 
 @query("""WITH e AS (SELECT conv_id, turn, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) AS a, length(text) AS n FROM conversations),
     k AS (SELECT *, CAST(floor(a / 4.0 + (n - a) / 1.5) AS BIGINT) AS tokens FROM e), r AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM k)
     SELECT conv_id, turn, tokens, CAST(used AS BIGINT) AS used FROM r WHERE used <= 600""")
 def token_budget_pack(t: Tables) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    k = t.conversations.select("conv_id", "turn", tx.estimated_tokens(F.col("text")).alias("tokens"))
-    return k.withColumn("used", F.sum("tokens").over(w)).where("used <= 600")
+    return cx.within_budget(t.conversations, "conv_id", "turn", "text", 600).select("conv_id", "turn", "tokens", "used")
 
 
-@query("SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1 FROM documents")
+@query("SELECT doc_id, md5(source || chr(31) || text || chr(31) || doc_id) AS id, md5(text) AS md5 FROM documents")
 def content_hashes(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.md5("text").alias("md5"), F.sha1("text").alias("sha1"))
+    return t.documents.select("doc_id", nm.content_id(F.col("source"), F.col("text"), F.col("doc_id").cast("string")).alias("id"), F.md5("text").alias("md5"))
 
 
 _NS = "6ba7b8119dad11d180b400c04fd430c8"
@@ -130,9 +106,21 @@ def entity_uuid5(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", nm.uuid5(F.concat_ws(":", F.lit("entity"), "source", F.col("doc_id").cast("string"))).alias("uuid"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+class Fenced:
+    """Replies as models give them: in a code fence after some words, and cut off where there are more than three items."""
+
+    def generate(self, payload: str) -> str:
+        items = json.loads(payload)["items"]
+        made = json.dumps({"facts": [{"fact_id": "f" + x["sentence_id"], "fact": x["text"], "source_sentence_id": x["sentence_id"], "confidence": 0.5} for x in items], "triples": []})
+        return made[: len(made) // 2] if len(items) > 3 else f"Here it is:\n```json\n{made}\n```\nDone."
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS scope, CAST(event_id // 1000 AS VARCHAR) AS batch_id, 'fe' || event_id AS fact_id, props AS fact, 'e' || event_id AS sid, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
 def json_props(t: Tables) -> DataFrame:
-    return t.events.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """Facts from fenced and cut-off replies: a reply that doesn't parse is asked for again in halves."""
+    e = t.events.select(F.col("user_id").cast("string").alias("scope"), F.floor(F.col("event_id") / 1000).cast("string").alias("batch_id"), F.concat(F.lit("e"), "event_id").alias("sid"), F.col("props").alias("text"), F.col("event_id").alias("position"))
+    facts = un.facts(un.extract(e, Fenced()))
+    return facts.select("scope", "batch_id", "fact_id", "fact", "sid", F.from_json("fact", "k bigint")["k"].alias("k"))
 
 
 @query("""WITH x AS (SELECT lower(lang) AS name, doc_id, lang, source FROM documents)

@@ -10,7 +10,8 @@ from engramix.functions import numeric as nm
 from engramix.functions import text as tx
 from engramix.operators import retrieval as rt
 from engramix.operators.filters import compile_filter
-from engramix.plans.registry import ORACLE_SQL, Tables, query
+from engramix.plans.registry import Tables, query
+from engramix.storage import materialize
 
 
 def words(values: list[str]) -> str:
@@ -91,10 +92,12 @@ def bm25_topk(t: Tables) -> DataFrame:
 
 
 def semantic(t: Tables) -> DataFrame:
-    """Coverage of the item's words stands for the semantic score."""
-    pairs = rt.bm25_topk(doc_memories(t), items(t), 40)
-    texts = pairs.join(items(t).withColumnRenamed("text", "query"), "query_id").join(doc_memories(t), "id")
-    return texts.select("query_id", "id", F.round(tx.coverage(tx.content_tokens(F.col("query")), tx.content_tokens(F.col("text"))), 6).alias("score"), F.col("score").alias("raw"), "query", "text")
+    """Coverage of the item's words stands for the semantic score. A text is split into words once, however many lists it is in."""
+    pairs = materialize(rt.bm25_topk(doc_memories(t), items(t), 40), "pairs")
+    held = doc_memories(t).join(pairs.select("id").distinct(), "id", "left_semi").withColumn("memory_tokens", tx.content_tokens(F.col("text")))
+    asked = items(t).withColumnRenamed("text", "query").withColumn("query_tokens", tx.content_tokens(F.col("query")))
+    texts = pairs.join(asked, "query_id").join(held, "id")
+    return texts.select("query_id", "id", F.round(tx.coverage(F.col("query_tokens"), F.col("memory_tokens")), 6).alias("score"), F.col("score").alias("raw"), "query", "text", "query_tokens", "memory_tokens")
 
 
 SEMANTIC = f"""{BM25},
@@ -104,15 +107,9 @@ SEMANTIC = f"""{BM25},
     scored AS (SELECT *, round(len(list_intersect(qt, mt)) / greatest(1, len(qt)), 6) AS score FROM sem)"""
 
 
-@query(f"WITH {BM25} SELECT query_id, id, round(bm25, 5) AS bm25 FROM raw WHERE query_id % 10 = 0")
+@query(f"WITH {BM25} SELECT query_id, id, round(bm25, 5) AS bm25 FROM raw")
 def bm25_scores(t: Tables) -> DataFrame:
-    """All scores of some queries, by joins."""
-    return rt.bm25(doc_memories(t), items(t).where("query_id % 10 = 0")).withColumn("bm25", F.round("bm25", 5))
-
-
-@query(ORACLE_SQL["bm25_scores"].replace(" WHERE query_id % 10 = 0", ""))
-def bm25_scores_whole(t: Tables) -> DataFrame:
-    """All scores of all queries."""
+    """All scores of all queries, by joins."""
     return rt.bm25(doc_memories(t), items(t)).withColumn("bm25", F.round("bm25", 5))
 
 
@@ -122,7 +119,7 @@ def bm25_scores_whole(t: Tables) -> DataFrame:
     SELECT query_id, id, semantic, round(bm25, 5) AS bm25, boost, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10""")
 def hybrid_fusion(t: Tables) -> DataFrame:
-    sem = semantic(t)
+    sem = materialize(semantic(t).select("query_id", "id", "score", "raw"), "semantic")
     keyword = sem.select("query_id", "id", nm.normalized_bm25(F.col("raw"), 20.0, 0.1).alias("bm25"))
     boosts = sem.where("id % 7 = 0").select("query_id", "id", F.lit(0.3).alias("boost"))
     fused = rt.fuse(sem, keyword, boosts, 0.1, 10_000).drop("rank").withColumn("score", F.round("score", 8))
@@ -219,7 +216,7 @@ EVIDENCE = f"""{SEMANTIC},
     SELECT query_id, id, query_coverage, temporal_cue, round(pen, 4) AS length_penalty, round(least(1.0, 0.75 * cov + 0.25 * temporal_cue), 4) AS evidence_score,
            round(greatest(0.0, score + 0.10 * score * least(1.0, 0.75 * cov + 0.25 * temporal_cue) - score * pen), 6) AS score FROM ev""")
 def evidence_features(t: Tables) -> DataFrame:
-    sem = semantic(t).select("query_id", "id", "query", F.col("text").alias("memory"), "score").withColumns({"created_at": F.lit(""), "time_constraints": F.array().cast("array<string>")})
+    sem = semantic(t).select("query_id", "id", "query", F.col("text").alias("memory"), "score", "query_tokens", "memory_tokens").withColumns({"created_at": F.lit(""), "time_constraints": F.array().cast("array<string>")})
     out = rt.adjust(sem)
     return out.select("query_id", "id", F.round("query_coverage", 4).alias("query_coverage"), "temporal_cue", F.round(tx.length_penalty(F.col("memory")), 4).alias("length_penalty"), F.round("evidence_score", 4).alias("evidence_score"), F.round("score", 6).alias("score"))
 
@@ -264,7 +261,7 @@ GRAPH_SIDE = """g AS (SELECT query_id, id, round(raw / 100, 6) AS path_score, CA
     SELECT query_id, id, round(CASE WHEN validated IS NOT NULL AND graph_score IS NOT NULL THEN validated + 0.12 * graph_score WHEN validated IS NOT NULL THEN validated ELSE 0.25 * graph_score END, 6) AS score,
            CASE WHEN validated IS NOT NULL AND graph_score IS NOT NULL THEN 'vector+bm25+graph_bfs' WHEN validated IS NOT NULL THEN 'vector+bm25' ELSE 'graph_bfs' END AS source FROM k WHERE validated IS NOT NULL OR n <= 4""")
 def route_merge(t: Tables) -> DataFrame:
-    sem = semantic(t)
+    sem = materialize(semantic(t).select("query_id", "id", "score", "raw"), "semantic")
     w = Window.partitionBy("query_id").orderBy(F.desc("raw"), "id")
     graph = sem.where("id % 2 = 0").select("query_id", "id", F.round(F.col("raw") / 100, 6).alias("path_score"), (1 + F.col("id") % 4).cast("int").alias("path_len"), F.row_number().over(w).alias("position"))
     validated = sem.where("id % 3 = 0 AND score >= 0.1").select("query_id", "id", "score")
@@ -280,31 +277,41 @@ def rerank_blend(t: Tables) -> DataFrame:
     return rt.rerank(s).select("query_id", "id", "source", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEMANTIC}, pool AS MATERIALIZED (SELECT query_id, id, CAST(score AS DOUBLE) AS score, mt, row_number() OVER w AS n, count(*) OVER (PARTITION BY query_id) AS size, greatest(max(CAST(score AS DOUBLE)) OVER (PARTITION BY query_id), 1e-9) AS top FROM scored WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id)),
+    half AS MATERIALIZED (SELECT query_id, a.id, b.id AS other, len(list_intersect(a.mt, b.mt)) AS k, len(a.mt) + len(b.mt) AS sizes FROM pool a JOIN pool b USING (query_id) WHERE a.n < b.n AND len(a.mt) > 0 AND len(b.mt) > 0),
+    jac AS MATERIALIZED (SELECT query_id, id, other, k / CAST(sizes - k AS DOUBLE) AS j FROM half UNION ALL SELECT query_id, other, id, k / CAST(sizes - k AS DOUBLE) FROM half),
+    it AS (SELECT query_id, id, score, n, size, top, CAST(0 AS DOUBLE) AS worst, CAST(NULL AS INTEGER) AS taken, 0 AS step FROM pool
+           UNION ALL
+           SELECT x.query_id, x.id, x.score, x.n, x.size, x.top, CASE WHEN x.taken IS NULL THEN greatest(x.worst, coalesce(j.j, 0)) ELSE x.worst END, CASE WHEN x.taken IS NULL AND x.place = 1 THEN x.step + 1 ELSE x.taken END, x.step + 1
+           FROM (SELECT *, row_number() OVER o AS place, first_value(id) OVER o AS chosen FROM it WHERE step < 10
+                 WINDOW o AS (PARTITION BY query_id ORDER BY taken IS NOT NULL, CASE WHEN size <= 10 THEN -n ELSE CAST(0.82 AS DOUBLE) * score / top - (1 - CAST(0.82 AS DOUBLE)) * worst END DESC, n)) x
+           LEFT JOIN jac j ON j.query_id = x.query_id AND j.id = x.id AND j.other = x.chosen)
+    SELECT query_id, id, round(score, 6) AS score, taken AS rank FROM it WHERE step = 10 AND taken IS NOT NULL""")
 def mmr_topk(t: Tables) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    pool = semantic(t).select("query_id", "id", "score", tx.content_tokens(F.col("text")).alias("tokens"), F.row_number().over(w).alias("position"))
+    pool = semantic(t).select("query_id", "id", "score", F.col("memory_tokens").alias("tokens"), F.row_number().over(w).alias("position"))
     return rt.diversify(pool, 10).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEMANTIC}, r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM scored QUALIFY n <= 20),
+    f AS (SELECT query_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, false AS kept, CAST([] AS BIGINT[]) AS seen, CAST([] AS BIGINT[]) AS segments, CAST([] AS BIGINT[]) AS supports, 0 AS rank FROM (SELECT DISTINCT query_id FROM r)
+          UNION ALL
+          SELECT r.query_id, r.n, r.id, NOT list_contains(f.seen, r.id), CASE WHEN list_contains(f.seen, r.id) THEN f.seen ELSE list_concat(f.seen, [r.id, r.id + 1, r.id + 2]) END,
+                 list_filter([r.id, r.id + 1], lambda x: NOT list_contains(f.seen, x)), list_filter([r.id + 2], lambda x: NOT list_contains(f.seen, x)), f.rank + CASE WHEN list_contains(f.seen, r.id) THEN 0 ELSE 1 END
+          FROM f JOIN r ON r.query_id = f.query_id AND r.n = f.n + 1)
+    SELECT query_id, CAST(id AS VARCHAR) AS id, rank, array_to_string(segments, ',') AS segments, array_to_string(supports, ',') AS supports FROM f WHERE kept""")
 def context_dedupe(t: Tables) -> DataFrame:
+    """Twenty results for each item, each with the next id on its path and the one after as support."""
     top = rt.ranked(semantic(t).select("query_id", "id", "score"), 20).withColumn("id", F.col("id").cast("string"))
     rows = top.select("query_id", "rank", "id", F.array("id", (F.col("id").cast("long") + 1).cast("string")).alias("segments"), F.array((F.col("id").cast("long") + 2).cast("string")).alias("supports"))
-    return rt.context_dedupe(rows)
+    return rt.context_dedupe(rows).select("query_id", "id", "rank", F.array_join("segments", ",").alias("segments"), F.array_join("supports", ",").alias("supports"))
 
 
 @query(f"""WITH {SEMANTIC}, r AS (SELECT query_id, id, score, text, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored),
-    l AS (SELECT *, concat(rank, '. [', substr(CAST(id AS VARCHAR), 1, 8), '] [2023-01-01] [] ', substr(text, 1, 400)) AS line FROM r WHERE rank <= 30),
+    l AS (SELECT *, concat(rank, '. [', substr(CAST(id AS VARCHAR), 1, 8), '] [2023-01-01] [] ', text) AS line FROM r WHERE rank <= 30),
     u AS (SELECT *, sum(length(line) // 3) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM l)
     SELECT query_id, md5(string_agg(line, chr(10) ORDER BY rank)) AS context_md5 FROM u WHERE used <= 2000 GROUP BY query_id""")
 def context_budget(t: Tables) -> DataFrame:
-    """The first 400 characters of each memory."""
-    return budgeted(t, F.substring("text", 1, 400))
-
-
-@query(ORACLE_SQL["context_budget"].replace("substr(text, 1, 400)", "text"))
-def context_budget_whole(t: Tables) -> DataFrame:
     """Whole memories: the token budget is the only limit."""
     return budgeted(t, F.col("text"))
 
@@ -318,7 +325,7 @@ def budgeted(t: Tables, memory: Column) -> DataFrame:
 @query(f"""WITH {SEMANTIC}, u AS (SELECT query_id, id, score FROM scored WHERE id % 2 = 0 UNION ALL SELECT query_id, id, round(score * 0.55, 6) FROM scored WHERE id % 3 = 0)
     SELECT query_id, id, max(score) AS score FROM u GROUP BY ALL""")
 def route_union_dedupe(t: Tables) -> DataFrame:
-    sem = semantic(t).select("query_id", "id", "score")
+    sem = materialize(semantic(t).select("query_id", "id", "score"), "semantic")
     both = sem.where("id % 2 = 0").unionByName(sem.where("id % 3 = 0").withColumn("score", F.round(F.col("score") * 0.55, 6)))
     return rt.dedupe_ids(both)
 

@@ -1,4 +1,4 @@
-"""The queries over whole tables: nothing is left out that their namesakes with bounded SQL leave out."""
+"""Queries run over whole tables, lists and texts."""
 
 import hashlib
 import random
@@ -23,7 +23,7 @@ def table(spark, name):
 def test_source_bound_has_all_documents(spark):
     docs = table(spark, "documents")
     assert docs.where("coalesce(n_chars, 2000) >= 2000").count() > 0
-    assert sorted(r["doc_id"] for r in run(spark, "source_bound_whole").collect()) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
+    assert sorted(r["doc_id"] for r in run(spark, "source_bound").collect()) == sorted(r["doc_id"] for r in docs.select("doc_id").collect())
 
 
 def brute_tau(p, r):
@@ -36,7 +36,7 @@ def brute_tau(p, r):
 def test_kendall_ranks_whole_lists(spark):
     lengths = {r["user_id"]: r["count"] for r in table(spark, "events").groupBy("user_id").count().collect()}
     assert max(lengths.values()) > 8
-    assert {r["question_id"]: r["n"] for r in run(spark, "kendall_tau_whole").collect()} == lengths
+    assert {r["question_id"]: r["n"] for r in run(spark, "kendall_tau").collect()} == lengths
     rnd = random.Random(5)
     for n, top in ((0, 1), (1, 1), (2, 1), (7, 3), (64, 5), (65, 1000), (200, 30)):
         p, r = ([rnd.randint(-top, top) for _ in range(n)] for _ in "pr")
@@ -50,8 +50,8 @@ def test_starts_and_scores_of_all_rows(spark):
     day = F.date_format("ts", "yyyy-MM-dd")
     e = table(spark, "events").select(day.alias("scope"), F.concat(F.lit("u"), "user_id").alias("head"), F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("tail"))
     ends = e.select("scope", "head").union(e.select("scope", "tail")).dropna().distinct()
-    assert {tuple(r) for r in run(spark, "start_resolution_whole").select("scope", "name").collect()} == {tuple(r) for r in ends.collect()}
-    scored = {r["query_id"] for r in run(spark, "bm25_scores_whole").select("query_id").distinct().collect()}
+    assert {tuple(r) for r in run(spark, "start_resolution").select("scope", "name").collect()} == {tuple(r) for r in ends.collect()}
+    scored = {r["query_id"] for r in run(spark, "bm25_scores").select("query_id").distinct().collect()}
     assert scored == {r["query_id"] for r in run(spark, "bm25_topk").collect()} and any(q % 10 for q in scored)
 
 
@@ -62,9 +62,9 @@ def test_evidence_is_met_up_to_the_largest_cutoff(spark, tmp_path):
     docs += [(2000 + i, f"other{i}") for i in range(300)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, " ".join(["zebra", *words]))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    ranks = catalogue.QUERIES["evidence_rank_whole"](spark, str(tmp_path)).collect()
+    ranks = catalogue.QUERIES["evidence_rank"](spark, str(tmp_path)).collect()
     assert [(r["question_id"], r["rank"] is not None and 50 < r["rank"] <= 200) for r in ranks] == [(1, True)], ranks
-    hits = {r["k"]: r["evidence_hits"] for r in catalogue.QUERIES["recall_at_k_whole"](spark, str(tmp_path)).where("category = 'all'").collect()}
+    hits = {r["k"]: r["evidence_hits"] for r in catalogue.QUERIES["recall_at_k"](spark, str(tmp_path)).where("category = 'all'").collect()}
     assert hits == {10: 0, 20: 0, 50: 0, 200: 1}
 
 
@@ -72,6 +72,6 @@ def test_context_holds_whole_memories(spark, tmp_path):
     long, short = "apple pear plum " + "filler " * 300, "apple pear"
     spark.createDataFrame([(1, long), (2, short), (3, "nothing here")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "apple pear plum")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    found = catalogue.QUERIES["context_budget_whole"](spark, str(tmp_path)).collect()
+    found = catalogue.QUERIES["context_budget"](spark, str(tmp_path)).collect()
     lines = [f"{i}. [{d}] [2023-01-01] [] {t}" for i, (d, t) in enumerate([(1, long), (2, short)], 1)]
     assert [r["context_md5"] for r in found] == [hashlib.md5("\n".join(lines).encode()).hexdigest()]
