@@ -31,7 +31,7 @@ ORDERS, BITS = (1, 2, 3), 16
 #: Characters that a kernel expands to n-grams at a time.
 CHARS = 1 << 19
 #: Learning rate, its offset, L1 and L2 penalties, passes; features are scaled to a sum near SCALE.
-ALPHA, BETA, L1, L2, PASSES, SCALE = 0.3, 1.0, 0.05, 1e-3, 2, 30.0
+ALPHA, BETA, L1, L2, PASSES, SCALE = 0.3, 1.0, 0.3, 1e-3, 2, 30.0
 
 
 @lru_cache(1)
@@ -174,8 +174,8 @@ def calibrate(logits: np.ndarray, own: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from the eligible rows that have a text and a language."""
     rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    counted = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType())])
-    out = arrow_schema(counted)
+    totals = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType())])
+    out = arrow_schema(totals)
     size = 1 << BITS
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def train(docs: DataFrame, eligible: Column, id_col: str = "doc_id", text_col: s
         yield record_batch(out, pa.array(at), pa.array(total[at]))
 
     df = np.zeros(size + 1)
-    for r in text_frame(rows, "doc_id", "text").mapInArrow(lean(frequencies), counted).groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row for each bucket at most
+    for r in text_frame(rows, "doc_id", "text").mapInArrow(lean(frequencies), totals).groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row for each bucket at most
         df[r["bucket"]] = r["n"]
     if not df[-1]:
         return Model([], np.zeros((size, 0), np.float32), np.zeros(0))
