@@ -160,8 +160,10 @@ def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     by = {k.name: k for k in KINDS}
     names = docs.columns
+    held = "_matches"
+    while held in [n.lower() for n in names]:  # whatever the table's own columns are called
+        held += "_"
     for name in ("email", "iban", "card", "ip", "phone", "ssn"):
-        held = f"__{name}"
         docs = docs.withColumn(held, _matches(F.col(text_col), by[name]))
         docs = docs.withColumn(text_col, _replaced(F.col(text_col), F.col(held), by[name])).drop(held)
     return docs.select(*names)

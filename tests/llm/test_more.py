@@ -318,6 +318,14 @@ def test_calibration():
     assert t == pytest.approx(3, rel=0.05) and error < 0.01
 
 
+def test_redaction_keeps_columns_of_any_name(spark):
+    from engramix.llm import pii
+
+    frame = spark.createDataFrame([(1, "mail me@x.org", "a", "b", "c")], "doc_id long, text string, __email string, _matches string, `_MATCHES_` string")
+    (row,) = pii.redact_documents(frame).collect()
+    assert tuple(row) == (1, "mail [EMAIL]", "a", "b", "c")
+
+
 # The pipeline
 
 
