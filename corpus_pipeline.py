@@ -30,7 +30,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine rejects go."""
+    """Documents that the factorisation machine rejects go.
+
+    Null and empty texts are scored by their structure like any other; equal texts have equal scores, so repeated rows stay or go
+    together; rows with a null id stay or go by their text; very long texts are scored whole; without labels nobody is
+    rejected; an empty table stays empty; columns other than those of documents are dropped.
+    """
     machine = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(5) != 0)
     keyed = _keyed(docs)
     rejected = quality.score(keyed, machine, id_col="_key").where(F.col("score") < LEAST_QUALITY).select(F.col("doc_id").alias("_key")).distinct()
@@ -38,7 +43,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, similarity 0.8) stays: that with the smallest id."""
+    """One document of each group of near duplicates (five words, similarity 0.8) stays: that with the smallest id.
+
+    Null and empty texts are near nothing and stay; rows that repeat an id and a text count as one, and one of them stays; of
+    equal texts under several ids the smallest id stays; a null id sorts before all others; very long texts are compared on
+    their full sets; an empty table stays empty; columns other than those of documents are dropped.
+    """
     keyed = _keyed(docs)
     groups = materialize(near_duplicates(keyed, width=5, id_col="_key"), "groups")
     gone = groups.where("not kept").select(F.col("doc_id").alias("_key")).distinct()
@@ -50,7 +60,12 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten consecutive words of a benchmark item go."""
+    """Documents with ten consecutive words of a benchmark item go.
+
+    Null and empty texts have no words and stay; repeated rows stay or go together; rows with a null id go by their text;
+    items without words or with a null id match nothing; very long texts are searched whole; an empty table stays empty;
+    columns other than those of documents are dropped.
+    """
     keyed = _keyed(docs)
     found = contamination(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_key")
     hit = materialize(found.where("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
@@ -58,13 +73,22 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind."""
+    """Personal data in the texts is replaced by its kind.
+
+    No row goes. A null text stays null and an empty one empty; repeated rows stay repeated; n_chars is that of the new text
+    (null for null); very long texts are redacted whole; an empty table stays empty; columns other than those of documents
+    are dropped.
+    """
     redacted = redact_documents(docs.select(*COLUMNS))
     return redacted.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of the documents that are left."""
+    """Token sequences of the documents that are left.
+
+    Null and empty texts are one piece with the end id; repeated rows and null ids are packed each; texts longer than a
+    sequence are cut; ties in length are assigned by id; an empty table gives no rows; only the id and the text are read.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
