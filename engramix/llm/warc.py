@@ -41,13 +41,18 @@ def classify(pages: DataFrame, least: int = 1000, id_col: str = "page_id", url_c
     """page_id, url, payload, refers_to: null for responses, the response's id for revisits.
 
     Digests are grouped by themselves (with partial sums, so a hot payload is no hot
-    task); only repeated ones are joined back, and a hot key of that join can be split.
+    task). Only the repeated ones are joined back: they are a written table, so Spark
+    sends them to the pages where they are few, without moving a payload, and divides a
+    hot key where they are many. Small pages have no digest and take no part.
     """
     payload = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     digest = F.when(F.octet_length("payload") >= least, F.unhex(F.sha1("payload")))
     groups = rows.select("page_id", digest.alias("digest")).where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("digest", "last")
-    joined = rows.withColumn("digest", digest).join(groups, "digest", "left")
+    groups = materialize(groups, "repeated-digests")
+    keyed = rows.withColumn("digest", digest)
+    large = keyed.where("digest is not null").join(groups, "digest", "left")
+    joined = large.unionByName(keyed.where("digest is null").withColumn("last", F.lit(None).cast(groups.schema["last"].dataType)))
     refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
     return joined.select("page_id", "url", "payload", refers.alias("refers_to"))
 
