@@ -26,7 +26,8 @@ missed with probability 7e-6, one at 0.85 with 3e-8.
 No step holds a bucket, a component or a class in one task: buckets and copies are
 counted before they are shuffled, what they are joined with is a written table (so that
 Spark divides a large key), and leaders of many are repeated for slices of their
-members. No pair of members is written unless it is compared.
+members. No pair of members is written unless it is compared. Exploded signatures are
+never broadcast: Spark's estimate of their size leaves out the rows that exploding makes.
 
 Cases: null and empty texts have no shingles and no links; a text with fewer words than
 a shingle has is one shingle; documents with a null id are linked with nothing and
@@ -56,6 +57,8 @@ BLOCK_SETS, BLOCK_SHINGLES = 1024, 1 << 20
 COLUMNS = 2048
 #: Members that are compared with one copy of their leader.
 SLICE = 512
+#: Rows of two numbers (some 4 MB on the driver) that are broadcast to the exploded signatures.
+LOOKUP_ROWS = 1 << 16
 #: Bits in a row that bitmap_construct_agg makes.
 BITMAP = 32768
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -141,6 +144,11 @@ def signatures(docs: DataFrame, width: int, groups: int, rows: int) -> DataFrame
     return docs.mapInArrow(lean(kernel), schema)
 
 
+def lookup(table: DataFrame) -> DataFrame:
+    """A written table of two numbers, for a join with exploded rows: broadcast if it is small, else a merge, so that the other side never is."""
+    return F.broadcast(table) if table.count() <= LOOKUP_ROWS else table.hint("merge")
+
+
 def met_classes(classes: DataFrame, work: Workspace) -> DataFrame:
     """node, h1, h2, doc_id, n, k1s, second of the classes that share a signature of the first collection with another one.
 
@@ -149,7 +157,7 @@ def met_classes(classes: DataFrame, work: Workspace) -> DataFrame:
     """
     one = classes.select("h1", "h2", F.posexplode("first").alias("i", "x")).select("h1", "h2", F.xxhash64("i", "x").alias("k1"))
     full = work.keep(one.groupBy("k1").agg(F.count("*").alias("c")).where("c > 1"), "met")
-    held = one.join(full, "k1").groupBy("h1", "h2").agg(F.collect_list("k1").alias("k1s"), F.sum("c").alias("company"))  # a row of ``one`` for each signature
+    held = one.join(lookup(full), "k1").groupBy("h1", "h2").agg(F.collect_list("k1").alias("k1s"), F.sum("c").alias("company"))  # a row of ``one`` for each signature
     place = (F.lit(255) - F.least(F.lit(255), F.floor(6 * F.log2("company")))).cast("long")
     node = F.shiftleft(place, 55) + F.monotonically_increasing_id()
     return work.keep(held.join(classes.select("h1", "h2", "doc_id", "n", "second"), ["h1", "h2"]).select(node.alias("node"), "h1", "h2", "doc_id", "n", "k1s", "second"), "nodes")
@@ -245,7 +253,7 @@ def unsettled(nodes: DataFrame, rooted: DataFrame, first: DataFrame, leaders: Da
     open_ = work.keep(seen.where("low <> high or new = 1 and (own <> low or own <> high)").select("k2", "b"), "unsettled")
     if open_.isEmpty():
         return open_.select(F.col("k2").alias("a"), "b").limit(0)
-    return work.keep(table_keys(nodes).join(open_, "k2").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "unsettled-stars")
+    return work.keep(table_keys(nodes).join(lookup(open_), "k2").where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "unsettled-stars")
 
 
 def _links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -339,7 +347,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, groups:
         # One row for each distinct set; signatures of equal sets are equal.
         classes = work.keep(linked.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("docs"), F.min("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")), "classes")
         nodes = met_classes(classes, work)
-        leaders = work.keep(table_keys(nodes).groupBy("k2").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").select("k2", "b"), "table-leaders")
+        leaders = lookup(work.keep(table_keys(nodes).groupBy("k2").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").select("k2", "b"), "table-leaders"))
         first = work.keep(table_keys(nodes).join(leaders, "k2").where("node <> b").groupBy(F.col("node").alias("a")).agg(F.min("b").alias("b")), "first-leaders")
         involved = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct()
         sets = _sets(own, nodes.join(involved, "node", "left_semi"), width, work)

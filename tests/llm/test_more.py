@@ -219,6 +219,29 @@ def test_links_that_leaders_miss_are_found(spark, monkeypatch):
     assert rows(near_duplicates.near_duplicates(frame, width=4)) == sorted(brute_near([(d, t or "") for d, t in texts], 4), key=repr)
 
 
+def test_exploded_signatures_are_not_broadcast(spark, monkeypatch):
+    """Spark's estimate of their size is that of the rows before exploding: at 0.6 GB, under its own threshold, the driver got all of them."""
+    texts = [(2 * i + k, " ".join([f"t{i}x{j}" for j in range(60)] + [f"end{k}"])) for i in range(50) for k in range(2)]
+    frame, plans, write = spark.createDataFrame(texts, "doc_id long, text string"), [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, *more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *more))
+
+    def run():
+        plans.clear()
+        assert {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(frame, width=4).collect()} == {d: d - d % 2 for d, _ in texts}
+        sent = []
+        for lines in map(str.splitlines, plans):
+            depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+            for i in (i for i, x in enumerate(lines) if "BroadcastExchange" in x):
+                end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+                sent += [x for x in lines[i:end] if "posexplode" in x]
+        assert any("posexplode" in p for p in plans) and not sent
+
+    run()
+    monkeypatch.setattr(near_duplicates, "LOOKUP_ROWS", 0)
+    run()
+    assert any("SortMergeJoin" in p for p in plans if "posexplode" in p)
+
+
 def test_components_of_random_graphs(spark):
     for n, m in ((60, 30), (60, 80), (200, 150)):
         edges = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)]
