@@ -222,14 +222,18 @@ def array_files(t: Tables) -> DataFrame:
     return raw.select("idx", F.get_json_object("raw", "$.item_id").cast("long").alias("item_id"), F.md5(F.get_json_object("raw", "$.text")).alias("text_md5"))
 
 
+#: Sessions in a row of a dialogue record; a longer record comes in several rows, so that no row grows with the tables.
+SESSIONS = 32
+
+
 def dialogue_records(t: Tables) -> DataFrame:
-    """Ten records of sessions, from all conversations."""
+    """Ten records of sessions, from all conversations, in rows of bounded size."""
     c = t.conversations.withColumn("idx", (F.col("conv_id") % 10).cast("int"))
     number = c.select("idx", "conv_id").distinct().withColumn("session", F.row_number().over(Window.partitionBy("idx").orderBy("conv_id")))
     s = listed(c, ["idx", "conv_id"], "turn", F.col("role").alias("speaker"), F.concat_ws(":", F.lit("D"), "conv_id", "turn").alias("dia_id"), F.col("text"), F.when(F.col("turn") == 1, "a cat").alias("blip_caption")).join(number, ["idx", "conv_id"])
     date = F.concat(F.lit("1:56 pm on "), (29 - F.col("session") % 28).cast("string"), F.lit(" May, 2023"))
-    entries = s.select("idx", F.explode(F.array(F.struct(F.concat(F.lit("session_"), "session").alias("k"), F.to_json("items").alias("v")), F.struct(F.concat(F.lit("session_"), "session", F.lit("_date_time")).alias("k"), date.alias("v")))).alias("e"))
-    return entries.groupBy("idx").agg(F.map_from_entries(F.collect_list("e")).alias("conversation")).select("idx", F.to_json(F.struct(F.to_json("conversation").alias("conversation"))).alias("raw"))
+    entries = s.select("idx", F.floor(F.col("session") / SESSIONS).alias("part"), F.explode(F.array(F.struct(F.concat(F.lit("session_"), "session").alias("k"), F.to_json("items").alias("v")), F.struct(F.concat(F.lit("session_"), "session", F.lit("_date_time")).alias("k"), date.alias("v")))).alias("e"))
+    return entries.groupBy("idx", "part").agg(F.map_from_entries(F.collect_list("e")).alias("conversation")).select("idx", F.to_json(F.struct(F.to_json("conversation").alias("conversation"))).alias("raw"))
 
 
 DIALOGUES = """d AS (SELECT CAST(conv_id % 10 AS INTEGER) AS conv_idx, CAST(dense_rank() OVER (PARTITION BY conv_id % 10 ORDER BY conv_id) AS INTEGER) AS session, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS turn, conv_id, turn AS t, role, text FROM conversations),

@@ -31,11 +31,19 @@ def read_json(spark: SparkSession, path: str, least: int | None = None, exactly:
 
 
 def dialogues(raw: DataFrame) -> DataFrame:
-    """conv_idx, session, session_date, ts, turn, speaker, dia_id, text of two-speaker conversations (idx, raw), in order."""
+    """conv_idx, session, session_date, ts, turn, speaker, dia_id, text of two-speaker conversations (idx, raw), in order.
+
+    A session meets its date inside the record, and leaves it without the record's other sessions.
+    """
     conv = F.from_json(F.get_json_object("raw", "$.conversation"), "map<string,string>")
-    entries = raw.select(F.col("idx").alias("conv_idx"), conv.alias("c")).select("conv_idx", "c", F.explode("c").alias("key", "value")).where(F.col("key").rlike("^session_[0-9]+$"))
-    date = F.try_element_at("c", F.concat("key", F.lit("_date_time")))
-    sessions = entries.select("conv_idx", F.regexp_extract("key", "([0-9]+)", 1).cast("int").alias("session"), date.alias("session_date"), F.from_json("value", f"array<{TURN}>").alias("turns"))
+    named = F.filter(F.map_entries(conv), lambda e: e["key"].rlike("^session_[0-9]+(_date_time)?$"))
+    number = lambda e: F.regexp_extract(e["key"], "([0-9]+)", 1).alias("n")
+    # In this order a session is followed by its date, if it has one.
+    entries = F.sort_array(F.transform(named, lambda e: F.struct(number(e), e["key"].endswith("_date_time").alias("dated"), e["value"].alias("value"))))
+    paired = raw.select(F.col("idx").alias("conv_idx"), entries.alias("e")).select("conv_idx", F.filter(F.transform("e", lambda x, i: F.struct(x.alias("own"), F.get("e", i + 1).alias("next"))), lambda x: ~x["own"]["dated"]).alias("e"))
+    each = paired.select("conv_idx", F.explode("e").alias("e")).select("conv_idx", "e.own", "e.next")
+    date = F.when(F.col("next.dated") & (F.col("next.n") == F.col("own.n")), F.col("next.value"))
+    sessions = each.select("conv_idx", F.col("own.n").cast("int").alias("session"), date.alias("session_date"), F.from_json("own.value", f"array<{TURN}>").alias("turns"))
     turns = sessions.select("conv_idx", "session", "session_date", F.posexplode("turns").alias("turn", "t"))
     text = tx.with_photo(F.coalesce("t.text", F.lit("")), F.coalesce("t.blip_caption", "t.blip", F.lit("")), F.coalesce("t.query", "t.img_query", F.lit("")))
     return turns.select("conv_idx", "session", "session_date", da.spoken(F.col("session_date")).alias("ts"), "turn", F.col("t.speaker").alias("speaker"), F.col("t.dia_id").alias("dia_id"), text.alias("text"))

@@ -1,6 +1,7 @@
 """Units, facts, triples, the engine's life cycle, datasets, logs, runs and results."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from engramix.operators import analytics as an
 from engramix.operators import memory as me
 from engramix.operators import units as un
 from engramix.operators.context import synthesize
+from engramix.plans import engine_queries as eq
+from engramix.plans.registry import Tables
 from engramix.providers import HashedEmbedder, extract_items, parse_reply
 from engramix.sources import checkpoints, datasets, logs, results, runs
 from engramix.storage import TableStore
@@ -173,6 +176,25 @@ def test_dialogues(spark, tmp_path):
         datasets.read_json(spark, str(tmp_path / "d.json"), least=500)
 
 
+def test_dialogue_sessions_meet_their_own_dates(spark):
+    turn = [{"speaker": "Ann", "dia_id": "D", "text": "hi"}]
+    conv = {f"session_{n}": turn for n in (1, 2, 10, 11)} | {"session_2_date_time": "2 May, 2023", "session_10_date_time": "10 May, 2023", "session_3_date_time": "3 May, 2023", "session_1_summary": "x"}
+    turns = datasets.dialogues(raw(spark, {"conversation": conv}))
+    assert sorted((t["session"], t["session_date"]) for t in turns.collect()) == [(1, None), (2, "2 May, 2023"), (10, "10 May, 2023"), (11, None)]
+    # A row of a session does not hold the record's other sessions: every explode names the column that it drops.
+    plan = turns._jdf.queryExecution().optimizedPlan().toString()
+    made = [x for x in plan.splitlines() if "Generate " in x]
+    assert len(made) == 2 and all(re.search(r"Generate \w+\(\w+#\d+\), \[", x) for x in made), made
+
+
+def test_dialogue_records_come_in_bounded_rows(spark, tmp_path):
+    n = 10 * 5 * eq.SESSIONS
+    spark.range(n).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "'hello' AS text").write.parquet(f"{tmp_path}/conversations.parquet")
+    r = eq.dialogue_records(Tables(spark, str(tmp_path))).collect()
+    sizes = [sum(k.endswith("_date_time") for k in json.loads(json.loads(x["raw"])["conversation"])) for x in r]
+    assert sum(sizes) == n and max(sizes) <= eq.SESSIONS and {x["idx"] for x in r} == set(range(10))
+
+
 def test_haystacks(spark):
     r = raw(spark, {"question_id": "q_abs", "question_type": "t", "question": "?", "answer": "a", "question_date": "2023/05/01 (Mon) 21:05", "answer_session_ids": ["s1"], "haystack_sessions": [[{"role": "user", "content": "late"}], [{"role": "user", "content": "early", "has_answer": True}]], "haystack_dates": ["2023/05/02 (Tue) 10:00", "2023/05/01 (Mon) 21:05"], "haystack_session_ids": ["s2", "s1"]})
     assert [x["content"] for x in datasets.haystacks(r).orderBy("session_pos").collect()] == ["early", "late"]
