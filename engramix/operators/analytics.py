@@ -159,7 +159,8 @@ def calibrated_hits(candidates: DataFrame) -> DataFrame:
     """
     w = Window.partitionBy("question_id", "evidence_id")
     order = w.orderBy(F.desc("sem"), "rank").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    c = candidates.withColumns({"mu": F.avg("sem").over(w), "sigma": F.stddev_pop("sem").over(w), "top1": F.max("sem").over(w), "top2": F.coalesce(F.nth_value("sem", 2).over(order), F.lit(0.0))})
+    # Sums go from the largest down: in the order of arrival their last places would decide candidates that are just at a bound.
+    c = candidates.withColumns({"mu": F.avg("sem").over(order), "sigma": F.stddev_pop("sem").over(order), "top1": F.max("sem").over(order), "top2": F.coalesce(F.nth_value("sem", 2).over(order), F.lit(0.0))})
     c = c.withColumn("margin", F.col("top1") - F.col("top2")).withColumn("z", (F.col("top1") - F.col("mu")) / F.greatest(F.lit(1e-6), F.col("sigma")))
     c = c.withColumn("rule", cl.rank_rule(F.col("sem"), F.col("lex"), F.col("shared"), F.col("mu"), F.col("sigma"), F.col("margin"), F.col("z")))
     hit = F.when(F.col("rule").isNotNull(), F.struct("rank", "rule"))

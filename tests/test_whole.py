@@ -1,6 +1,7 @@
 """Queries run over whole tables, lists and texts."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -75,3 +76,12 @@ def test_context_holds_whole_memories(spark, tmp_path):
     found = catalogue.QUERIES["context_budget"](spark, str(tmp_path)).collect()
     lines = [f"{i}. [{d}] [2023-01-01] [] {t}" for i, (d, t) in enumerate([(1, long), (2, short)], 1)]
     assert [r["context_md5"] for r in found] == [hashlib.md5("\n".join(lines).encode()).hexdigest()]
+
+
+def test_calibration_does_not_depend_on_the_order_of_arrival(spark):
+    # The second best is just at mean + 0.9 deviations (0.46 + 0.09), which sums in another order miss.
+    group = [(4, 0.59, 0.45, 3), (1, 0.55, 0.09, 0), (5, 0.42, 0.0, 5), (4, 0.31, 0.09, 5), (1, 0.43, 0.45, 4)]
+    rows = [(q, "e", *r) for q, way in enumerate(itertools.permutations(group)) for r in way]
+    c = spark.createDataFrame(rows, "question_id int, evidence_id string, rank int, sem double, lex double, shared int").coalesce(1)
+    found = an.calibrated_hits(c).select("rank", "rule", "mu", "sigma", "margin").collect()
+    assert len(found) == 120 and len({tuple(r) for r in found}) == 1 and (found[0]["rank"], found[0]["rule"]) == (1, "R2")
