@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 
 from engramix.functions import numeric as nm
 from engramix.functions import text as tx
-from engramix.storage import materialize
+from engramix.storage import materialize, release, small_batches
 
 _WORDS = re.compile("[a-z0-9]+").findall
 #: Queries that meet the memories in one pass; larger sets are cut in blocks.
 QUERY_BLOCK = 4096
 #: The same for keyword search, where a block also has a column of weights for each query; blocks of one pass.
 TERM_BLOCK, TERM_BLOCKS = 256, 16
-#: Scores that a task computes at a time.
-SCORES = 1 << 20
+#: Scores that a task computes at a time, and rows that it passes on at a time.
+SCORES, EMITTED = 1 << 20, 1 << 15
 
 
 def ranked(df: DataFrame, k: int | Column, key: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
@@ -129,19 +129,11 @@ def postings(memories: DataFrame, text: str = "text") -> DataFrame:
 def bm25(memories: DataFrame, queries: DataFrame, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_id, id, bm25: Okapi sums over the distinct query terms.
 
-    The query terms are joined before anything is grouped: only their postings leave
-    the scan. Document frequencies and the mean length cover all memories.
+    All scores of a memory come from its own matched terms, so they leave the task that
+    holds it as they are. Only ids that several memories have meet again, to be one.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(tx.raw_tokens(F.col("text")))).alias("term"))
-    vocabulary = wanted.select("term").distinct()
-    terms = memories.select("id", tx.raw_tokens(F.col(text)).alias("terms")).withColumn("length", F.size("terms").cast("long"))
-    totals = terms.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    kept = terms.select("id", "length", F.explode("terms").alias("term")).join(vocabulary, "term").groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
-    df = kept.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(totals)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row of totals
-    tf, ratio = F.col("tf"), F.col("length") / F.col("mean")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * ratio))
-    return kept.join(weighted, "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
+    wanted = queries.select("query_id", _terms("text")).groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("wanted"))).alias("wanted"))
+    return _keyword(memories, wanted, None, text, k1, b).withColumnRenamed("score", "bm25")
 
 
 def bm25_topk(memories: DataFrame, queries: DataFrame, k: int, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -152,10 +144,28 @@ def bm25_topk(memories: DataFrame, queries: DataFrame, k: int, text: str = "text
     matrices of bounded size, and a task passes on its own k best, so common terms don't
     multiply postings by queries.
     """
+    found = _keyword(memories, queries.select("query_id", _terms("text")), k, text, k1, b)
+    return ranked(found.withColumn("score", F.round("score", 6)), k)
+
+
+def _terms(text: str) -> Column:
+    return F.array_distinct(tx.raw_tokens(F.coalesce(F.col(text), F.lit("")))).alias("wanted")
+
+
+def _merged(held: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Matched terms of the repeated ids: memories of one id and one length are one."""
+    again = held.alias("h").join(repeated.alias("r"), F.col("h.id").eqNullSafe(F.col("r.id")), "left_semi")
+    each = again.select("id", "length", F.explode(F.arrays_zip("places", "counts")).alias("z")).groupBy("id", "length", "z.places").agg(F.sum("z.counts").cast("int").alias("counts"))
+    terms = each.groupBy("id", "length").agg(F.array_sort(F.collect_list(F.struct("places", "counts"))).alias("z"))
+    return terms.select("id", "length", F.col("z.places").alias("places"), F.col("z.counts").alias("counts"))
+
+
+def _keyword(memories: DataFrame, wanted: DataFrame, k: int | None, text: str, k1: float, b: float) -> DataFrame:
+    """query_id, id, score: the k best of each task, or without k all above 0, for queries (query_id, wanted terms)."""
     spark = memories.sparkSession
-    id_kind, query_kind = (df.schema[c].dataType.simpleString() for df, c in ((memories, "id"), (queries, "query_id")))
-    wanted = queries.select("query_id", F.array_distinct(tx.raw_tokens(F.coalesce(F.col("text"), F.lit("")))).alias("wanted"))
-    blocks = max(1, -(-queries.count() // (TERM_BLOCK * TERM_BLOCKS)))
+    small_batches(spark)
+    id_kind, query_kind = (df.schema[c].dataType.simpleString() for df, c in ((memories, "id"), (wanted, "query_id")))
+    blocks = max(1, -(-wanted.count() // (TERM_BLOCK * TERM_BLOCKS)))
     found = None
     for block in range(blocks):
         part = wanted if blocks <= 1 else wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
@@ -168,17 +178,25 @@ def bm25_topk(memories: DataFrame, queries: DataFrame, k: int, text: str = "text
             for batch in batches:
                 lengths, places, counts = [], [], []
                 for text_ in batch["text"]:
-                    words = _WORDS(text_.lower())
-                    lengths.append(len(words))
+                    words = _WORDS(text_.lower()) if text_ is not None else []
+                    lengths.append(len(words) if text_ is not None else None)
                     at, tf = np.unique(np.array([x for x in map(known, words) if x is not None], np.int32), return_counts=True)
                     places.append(at), counts.append(tf.astype(np.int32))
-                yield pd.DataFrame({"id": batch["id"], "length": lengths, "places": places, "counts": counts})
+                yield pd.DataFrame({"id": batch["id"], "length": pd.array(lengths, "Int64"), "places": places, "counts": counts})
+            release()
 
         # The texts are split once: frequencies, lengths and scores all come from the terms that the queries have.
-        held = materialize(memories.select("id", F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(matched, f"id {id_kind}, length bigint, places array<int>, counts array<int>"), "matched-terms")
+        held = materialize(memories.select("id", F.col(text).alias("text")).mapInPandas(matched, f"id {id_kind}, length bigint, places array<int>, counts array<int>"), "matched-terms")
         n, mean = held.agg(F.count("*"), F.avg("length")).first()
+        repeated = None
+        if k is None:
+            ids = materialize(held.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
+            if not ids.isEmpty():
+                repeated = materialize(_merged(held, ids), "repeated-terms")
+                held = held.alias("h").join(ids.alias("r"), F.col("h.id").eqNullSafe(F.col("r.id")), "left_anti")
         df = np.zeros(len(vocabulary))
-        for r in held.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("df")).collect():  # a row for each term of the block
+        every = held if repeated is None else held.unionByName(repeated)
+        for r in every.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("df")).collect():  # a row for each term of the block
             df[r["place"]] = r["df"]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         groups = []
@@ -195,29 +213,53 @@ def bm25_topk(memories: DataFrame, queries: DataFrame, k: int, text: str = "text
             groups.append(([r["query_id"] for r in some], np.array(own, np.int64), weights))
         shared = spark.sparkContext.broadcast((groups, float(mean or 0)))
 
+        def scores(batch: pd.DataFrame, own: np.ndarray, w: np.ndarray, average: float) -> Iterator[tuple[np.ndarray, pd.Series]]:
+            """Scores (memories x queries) and ids of as many memories at a time as fit."""
+            step = max(1, SCORES // max(1, *w.shape))
+            for first in range(0, len(batch) if len(own) else 0, step):
+                some = batch.iloc[first : first + step]
+                sizes = np.array([len(p) for p in some["places"]])
+                flat = np.concatenate(list(some["places"])).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                ok = own[at] == flat
+                tf = np.zeros((len(some), len(own)))
+                tf[np.repeat(np.arange(len(some)), sizes)[ok], at[ok]] = np.concatenate(list(some["counts"]))[ok] if sizes.sum() else 0
+                length = some["length"].to_numpy(float, na_value=np.nan)
+                under = tf + (k1 * (1 - b + b * length / average))[:, None]
+                under += 1e-300
+                tf *= k1 + 1
+                tf /= under
+                yield tf @ w, some["id"]
+
         def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             groups, average = shared.value
             tops = [Best(k, len(names)) for names, _, _ in groups]
             for batch in batches:
-                for (names, own, w), top in zip(groups, tops, strict=True):
-                    step = max(1, SCORES // max(1, len(own), len(names)))
-                    for first in range(0, len(batch) if len(own) else 0, step):
-                        some = batch.iloc[first : first + step]
-                        sizes = np.array([len(p) for p in some["places"]])
-                        flat = np.concatenate(list(some["places"])).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
-                        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-                        ok = own[at] == flat
-                        tf = np.zeros((len(some), len(own)))
-                        tf[np.repeat(np.arange(len(some)), sizes)[ok], at[ok]] = np.concatenate(list(some["counts"]))[ok] if sizes.sum() else 0
-                        length = some["length"].to_numpy(float)
-                        score = (tf * (k1 + 1) / (tf + (k1 * (1 - b + b * length / average))[:, None] + 1e-300)) @ w
-                        top.add(np.where(score > 0, np.round(score, 6), -1), some["id"].tolist())
+                for (_, own, w), top in zip(groups, tops, strict=True):
+                    for score, ids in scores(batch, own, w, average):
+                        top.add(np.where(score > 0, np.round(score, 6), -1), ids.tolist())
             for (names, _, _), top in zip(groups, tops, strict=True):
                 yield from top.frames(names)
+            release()
 
-        scored = held.mapInPandas(best, f"query_id {query_kind}, id {id_kind}, score double")
+        def whole(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            groups, average = shared.value
+            for batch in batches:
+                for names, own, w in groups:
+                    own_names = pd.Series(names)
+                    for score, ids in scores(batch, own, w, average):
+                        q, i = np.nonzero(score.T > 0)
+                        for first in range(0, len(i), EMITTED):
+                            at, of = i[first : first + EMITTED], q[first : first + EMITTED]
+                            yield pd.DataFrame({"query_id": own_names.take(of).array, "id": ids.take(at).array, "score": score[at, of]})
+            release()
+
+        form = f"query_id {query_kind}, id {id_kind}, score double"
+        scored = held.mapInPandas(whole if k is None else best, form)
+        if repeated is not None:
+            scored = scored.unionByName(repeated.mapInPandas(whole, form).groupBy("query_id", "id").agg(F.sum("score").alias("score")))
         found = scored if found is None else found.unionByName(scored)
-    return ranked(found.withColumn("score", F.round("score", 6)), k)
+    return found
 
 
 def near_texts(wanted: DataFrame, texts: DataFrame) -> DataFrame:

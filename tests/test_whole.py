@@ -4,11 +4,14 @@ import hashlib
 import itertools
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from engramix.operators import analytics as an
+from engramix.operators import retrieval as rt
 from engramix.plans import catalogue
+from engramix.storage import BATCH_SETTING
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +88,31 @@ def test_calibration_does_not_depend_on_the_order_of_arrival(spark):
     c = spark.createDataFrame(rows, "question_id int, evidence_id string, rank int, sem double, lex double, shared int").coalesce(1)
     found = an.calibrated_hits(c).select("rank", "rule", "mu", "sigma", "margin").collect()
     assert len(found) == 120 and len({tuple(r) for r in found}) == 1 and (found[0]["rank"], found[0]["rule"]) == (1, "R2")
+
+
+def test_keyword_scores_stay_in_their_task(spark, tmp_path):
+    docs = [(1, "apple pear apple"), (2, "pear plum fig"), (3, None), (4, "none"), (5, "fig apple")]
+    spark.createDataFrame([(1, "apple fig"), (2, "pear pear")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for again in ([], [(1, "plum apple fig"), (1, "fig"), (5, "fig apple")]):
+        spark.createDataFrame(docs + again, "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        df = catalogue.QUERIES["bm25_scores"](spark, str(tmp_path))
+        db = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+        assert sorted(map(tuple, df.collect())) == sorted(db.execute(catalogue.ORACLE_SQL["bm25_scores"]).fetchall())
+        # Only ids that several memories have are shuffled.
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert again or "Exchange" not in plan, plan
+
+
+def test_keyword_search_takes_texts_in_bounded_batches(spark):
+    had = dict(spark.conf.getAll).get(BATCH_SETTING)
+    spark.conf.unset(BATCH_SETTING)
+    try:
+        texts = spark.createDataFrame([(1, "apple")], "id long, text string")
+        rt.bm25_topk(texts, texts.withColumnRenamed("id", "query_id"), 1).collect()
+        assert 0 < int(spark.conf.get(BATCH_SETTING)) <= 4 << 20
+    finally:
+        spark.conf.unset(BATCH_SETTING)
+        if had:
+            spark.conf.set(BATCH_SETTING, had)
