@@ -27,6 +27,8 @@ QUERY_BLOCK = 4096
 TERM_BLOCK, TERM_BLOCKS = 256, 16
 #: Scores that a task computes at a time, and rows that it passes on at a time.
 SCORES, EMITTED = 1 << 20, 1 << 15
+#: Parts in which the memories of one set of entities meet its boosts.
+LINK_PARTS = 64
 
 
 def ranked(df: DataFrame, k: int | Column, key: str = "query_id", score: str = "score", tie: str = "id") -> DataFrame:
@@ -271,14 +273,21 @@ def entity_boosts(query_entities: DataFrame, entities: DataFrame, weight: float
     """query_id, id, boost: the best attenuated similarity over the entities that a memory is linked to.
 
     query_entities: query_id, position, vector; entities: entity_id, vector, linked (ids).
+    Memories with the same entities have the same boosts, so the best is taken once for a set
+    of entities; each set then meets its memories in parts, row by row.
     """
     chosen = query_entities.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("position"))).where(F.col("n") <= most_entities)
     keyed = chosen.select("query_id", F.concat_ws("|", F.col("query_id").cast("string"), F.col("n").cast("string")).alias("probe"), "vector")
     met = vector_topk(entities.select(F.col("entity_id").alias("id"), F.lit(None).cast("string").alias("scope"), "vector"), keyed.select(F.col("probe").alias("query_id"), F.lit(None).cast("string").alias("scope"), "vector"), most_matches)
     met = met.where(F.col("score") >= least).join(keyed.select("query_id", F.col("probe")).withColumnRenamed("query_id", "q"), F.col("query_id") == F.col("probe"))
-    linked = met.select(F.col("q").alias("query_id"), F.col("id").alias("entity_id"), "score").join(entities.select("entity_id", "linked"), "entity_id")
-    boosted = linked.withColumn("boost", F.col("score") * weight * nm.spread(F.size("linked")))
-    return boosted.select("query_id", F.explode("linked").alias("id"), "boost").groupBy("query_id", "id").agg(F.max("boost").alias("boost"))
+    met = met.select(F.col("q").alias("query_id"), F.col("id").alias("entity_id"), "score")
+    links = entities.select("entity_id", F.explode("linked").alias("id"))
+    sets = materialize(links.groupBy("id").agg(F.array_sort(F.collect_set("entity_id")).alias("set")), "linked-sets")
+    spread = entities.select("entity_id", nm.spread(F.size("linked")).alias("spread"))
+    each = sets.select("set").distinct().select("set", F.explode("set").alias("entity_id"))
+    best = each.join(met, "entity_id").join(spread, "entity_id").groupBy("set", "query_id").agg(F.max(F.col("score") * weight * F.col("spread")).alias("boost"))
+    parts = best.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(LINK_PARTS - 1))))
+    return sets.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(LINK_PARTS)).cast("int")).join(parts, ["set", "part"]).select("query_id", "id", "boost")
 
 
 def fuse(semantic: DataFrame, keyword: DataFrame | None = None, boosts: DataFrame | None = None, threshold: float = 0.1, k: int = 20, bm25_weight: float = 1.0) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -116,3 +117,19 @@ def test_keyword_search_takes_texts_in_bounded_batches(spark):
         spark.conf.unset(BATCH_SETTING)
         if had:
             spark.conf.set(BATCH_SETTING, had)
+
+
+def test_boosts_are_not_grouped_pair_by_pair(spark):
+    wanted = spark.createDataFrame([(7, 1, [1.0, 0.0]), (7, 2, [0.0, 1.0])], "query_id long, position int, vector array<double>")
+    entities = spark.createDataFrame([("a", [1.0, 0.0], [1, 2]), ("b", [0.6, 0.8], [2, 3, 4]), ("c", [-1.0, -1.0], [5])], "entity_id string, vector array<double>, linked array<long>")
+    df = rt.entity_boosts(wanted, entities)
+    a, b = 0.5 / (1 + 0.001), 0.8 * 0.5 / (1 + 0.004)
+    found = {(r["query_id"], r["id"]): r["boost"] for r in df.collect()}
+    assert found.keys() == {(7, i) for i in (1, 2, 3, 4)} and all(abs(found[7, i] - x) < 1e-6 for i, x in ((1, a), (2, a), (3, b), (4, b)))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[query_id#\d+L?, id#\d+L?\]", plan), plan
+
+
+def test_gate_splits_a_text_once(spark):
+    plan = run(spark, "path_gate")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(lower(text#") == 1, plan
